@@ -7,6 +7,7 @@ import html
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from mailspark.functions.text import ENDS
 
@@ -87,7 +88,7 @@ def _apply(col: Column, steps: list[tuple[str, str]]) -> Column:
     return col
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_entities(texts: pd.Series) -> pd.Series:
     return texts.map(html.unescape, na_action="ignore")
 

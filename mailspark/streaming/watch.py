@@ -16,8 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from mailspark.functions.events import to_events
 from mailspark.operators.joins import SALTS
-from mailspark.operators.search import NEWEST, filtered, list_rows, take
+from mailspark.operators.search import NEWEST, filtered, take
 from mailspark.operators.terms import Term
+from mailspark.schemas import LIST_COLUMNS
 
 
 def watched(
@@ -97,7 +98,7 @@ def start_watch(
                 rows = rows.join(seen, "id", "left_anti")
             rows.select("id").write.mode("overwrite").parquet(f"{sink}_seen/batch={batch_id}")
         capped = take(rows, NEWEST, cap) if cap else rows
-        events = to_events(list_rows(capped), query, source)
+        events = to_events(capped.select(*LIST_COLUMNS), query, source)
         ordered = events.withColumn("date", F.get_json_object("payload", "$.date")).orderBy("date", "id").drop("date")
         ordered.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         if on_events:
