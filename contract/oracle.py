@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from contract.view import FOLDER_ROWS, SIDE
 from mailspark.functions import bodies
-from mailspark.functions.text import ENDS, FOLD_FROM, FOLD_TO, TEXT_COLUMNS
+from mailspark.functions.text import FOLD_FROM, FOLD_TO, TEXT_COLUMNS, WHITE
 from mailspark.plans.saved import COLUMN_BITS, FALSE_WORDS, TERM, TRUE_WORDS
 from mailspark.plans.synth import Pools
 
@@ -16,7 +16,7 @@ def lit(value: str) -> str:
 
 
 def strip(sql: str) -> str:
-    return f"regexp_replace({sql}, {lit(ENDS)}, '', 'g')"
+    return f"trim({sql}, {lit(WHITE)})"
 
 
 def cut(sql: str, size: int) -> str:
@@ -341,7 +341,7 @@ def html_text(sql: str) -> str:
 
 
 def clean(sql: str) -> str:
-    return steps(f"coalesce({sql}, '')", bodies.PLAIN_STEPS)
+    return strip(steps(f"coalesce({sql}, '')", bodies.PLAIN_STEPS))
 
 
 SQL["html_to_text"] = f"SELECT page_id, {html_text('html')} AS body FROM pages"

@@ -11,10 +11,9 @@ from contract import view as V
 from mailspark.functions import bodies, dates, display, events
 from mailspark.operators import counters, index, profile, rank
 from mailspark.operators import search as S
-from mailspark.operators.joins import salted_join
 from mailspark.operators.terms import before, flag, folder, since, text
 from mailspark.plans import saved, synth
-from mailspark.schemas import DETAIL_COLUMNS, result_column, schema_status
+from mailspark.schemas import schema_status
 from mailspark.scratch import scratch_dir
 from mailspark.sources import mailbox
 from mailspark.streaming import upkeep, watch
@@ -187,7 +186,7 @@ def dup_representatives(spark, sf):
 @query
 def corpus_stats(spark, sf):
     terms = [text("the"), text("of the"), text("th*", field="subject")]
-    stats = rank.corpus_stats(V.messages(spark, sf, flags=False), terms)
+    stats = rank.corpus_stats(index.with_index(V.messages(spark, sf, flags=False)), terms)
     return stats.withColumn("mean_len", F.round("mean_len", 6))
 
 
@@ -210,7 +209,7 @@ def search_ranked_column(spark, sf):
 @query
 def search_scores(spark, sf):
     """Scores of every hit, no limit."""
-    mail = V.messages(spark, sf, flags=False)
+    mail = index.with_index(V.messages(spark, sf, flags=False))
     terms = [text("the"), text("of the", field="body")]
     hits = S.filtered(mail, terms)
     return hits.select("id", F.round(rank.bm25(hits, terms, rank.corpus_stats(mail, terms)), 6).alias("score"))
@@ -325,18 +324,20 @@ def listing(spark, sf):
 
 @query
 def snippet(spark, sf):
-    both = V.table(spark, sf, "documents").select(F.col("doc_id").alias("rowid"), "text")
+    both = mailbox.spread(V.table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("rowid"), "text")
     return both.select("rowid", display.snippet(F.col("text")).alias("snippet"), dates.truncate(F.col("text"), 30).alias("cut"))
 
 
 @query
 def html_to_text(spark, sf):
-    return V.table(spark, sf, "pages").select("page_id", bodies.html_to_text(F.col("html")).alias("body"))
+    pages = mailbox.spread(V.table(spark, sf, "pages"), "page_id")
+    return pages.select("page_id", bodies.html_to_text(F.col("html")).alias("body"))
 
 
 @query
 def clean_plain(spark, sf):
-    return V.table(spark, sf, "documents").select("doc_id", bodies.clean_plain(F.col("text")).alias("body"))
+    documents = mailbox.spread(V.table(spark, sf, "documents"), "doc_id")
+    return documents.select("doc_id", bodies.clean_plain(F.col("text")).alias("body"))
 
 
 @query
@@ -369,9 +370,11 @@ def saved_terms(spark, sf):
 
 def _matches(spark, sf):
     searches = V.saved_searches(spark, sf, "benchmark", "item_id")
-    path = scratch_dir(spark, "terms")
-    saved.parse_searches(searches, V.NOW).write.parquet(path)
-    return searches, saved.match_searches(searches, spark.read.parquet(path), V.messages(spark, sf), V.folders(spark))
+    path = scratch_dir(spark, "saved")
+    saved.parse_searches(searches, V.NOW).write.parquet(f"{path}/terms")
+    index.with_index(V.messages(spark, sf)).write.parquet(f"{path}/mail")
+    terms, mail = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/mail")
+    return searches, saved.match_searches(searches, terms, mail, V.folders(spark))
 
 
 @query

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions.display import snippet
+from mailspark.sources.mailbox import spread
 
 NOW = datetime(2024, 1, 20)
 
@@ -44,12 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def folders(spark: SparkSession, archive: bool = False) -> DataFrame:
     rows = [(i, n, "archive" if archive and i == "f-all" else t) for i, n, t in FOLDER_ROWS]
-    return spark.createDataFrame(rows, "id string, name string, type string")
+    values = ", ".join(f"('{i}', '{n}', " + (f"'{t}')" if t else "NULL)") for i, n, t in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS folders(id, name, type)")
 
 
 def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool = False) -> DataFrame:
     """Messages with only the joins a query needs: ``flags`` brings in labels, ``html`` pages."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"), "doc_id")
     if flags:
         d = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     if html:

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from mailspark.functions.text import ENDS
+from mailspark.functions.text import strip
 
 # Elements that stand apart with a blank line.
 PARAGRAPH_TAGS = ("p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "ul", "ol", "table")
@@ -78,7 +78,6 @@ PLAIN_STEPS = [
     (CONTROLS + "|" + INVISIBLE, ""),
     (r"[ \t]+(\n|\z)", "$1"),
     (r"\n{3,}", "\n\n"),
-    (ENDS, ""),
 ]
 
 
@@ -96,17 +95,16 @@ def _decode_entities(texts: pd.Series) -> pd.Series:
 def html_to_text(col: Column) -> Column:
     """Readable text of an HTML body: blocks on their own lines, list bullets, decoded entities.
 
-    Entity decoding is the one step without a Spark function; it is an Arrow-batched UDF that only
-    sees rows holding an ``&`` (other rows pass null through it).
+    Entity decoding is the one step without a Spark function; it is an Arrow-batched UDF. All rows
+    take it: a bypass for rows without ``&`` would compute the steps before it several times.
     """
     marked = _apply(F.coalesce(col, F.lit("")), TO_MARKERS)
-    decoded = _decode_entities(F.when(marked.contains("&"), marked))
-    return _apply(F.coalesce(decoded, marked), FROM_MARKERS)
+    return _apply(_decode_entities(marked), FROM_MARKERS)
 
 
 def clean_plain(col: Column) -> Column:
     """Plain text with unified line ends, no invisible characters, at most one blank line in a row."""
-    return _apply(F.coalesce(col, F.lit("")), PLAIN_STEPS)
+    return strip(_apply(F.coalesce(col, F.lit("")), PLAIN_STEPS))
 
 
 def readable_body(text: Column, html_body: Column, snippet: Column) -> Column:

@@ -20,8 +20,7 @@ TEXT_COLUMNS = ("subject", "from_name", "from_address", "to_text", "snippet", "b
 SEPARATORS = r"[^\p{L}\p{N}\p{Co}]+"
 
 # White space trimmed from the ends of values.
-WHITE = r"[\s\x0B\x{85}\p{Z}]"
-ENDS = rf"\A{WHITE}+|{WHITE}+\z"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 # Combining marks that vanish inside a token.
 DROPPED_MARKS = "".join(
@@ -62,7 +61,7 @@ def fold(col: Column) -> Column:
 
 def strip(col: Column) -> Column:
     """Text without white space at its ends."""
-    return F.regexp_replace(col, ENDS, "")
+    return F.trim(col, F.lit(WHITE))
 
 
 def pad(col: Column) -> Column:

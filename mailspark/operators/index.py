@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,10 +48,26 @@ def doc_length(messages: DataFrame) -> Column:
     return sum((token_count(padded(messages, c)) for c in TEXT_COLUMNS[1:]), token_count(padded(messages, TEXT_COLUMNS[0])))
 
 
+def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row however often they are used.
+
+    Catalyst copies the expression of a plain column into every filter and projection above it. A
+    column out of ``inline`` is not copied, and filters on other columns still move below it.
+    """
+    if not columns:
+        return rows
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def with_pads(messages: DataFrame, columns: Iterable[str]) -> DataFrame:
+    """Messages plus the padded form of these text columns, where it is not stored already."""
+    missing = [c for c in TEXT_COLUMNS if c in set(columns) and f"pad_{c}" not in messages.columns]
+    return once(messages, {f"pad_{c}": pad(text_column(messages, c)) for c in missing})
+
+
 def with_index(messages: DataFrame) -> DataFrame:
     """Messages plus padded columns and document length; store this once, search it many times."""
-    pads = {f"pad_{c}": pad(text_column(messages, c)) for c in TEXT_COLUMNS}
-    indexed = messages.withColumns({k: v for k, v in pads.items() if k not in messages.columns})
+    indexed = with_pads(messages, TEXT_COLUMNS)
     return indexed.withColumn("doc_len", doc_length(indexed))
 
 

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.operators.index import with_index, with_pads
 from mailspark.operators.joins import SALTS, salt_of, salted_join
 from mailspark.operators.rank import bm25, corpus_stats, matches
 from mailspark.operators.terms import Flag, Folder, Term, Text, When
@@ -66,6 +67,7 @@ def filtered(
     """Messages for which every term holds, all columns kept."""
     terms = list(terms)
     result = with_instant(messages)
+    result = with_pads(result, {c for t in terms if isinstance(t, Text) and t.wanted for c in t.columns})
     result = result.filter(predicate(result, terms, now))
     for term in terms:
         if isinstance(term, Folder):
@@ -152,6 +154,7 @@ def search(
     ``limit=0`` means no limit. No copies are removed and no spam is hidden; see ``search_view``.
     """
     terms = list(terms)
+    messages = with_index(messages) if _ranked(terms) else messages
     return _ordered_rows(messages, filtered(messages, terms, folders, now), terms, limit, offset, columns)
 
 
@@ -171,6 +174,7 @@ def search_view(
     A search inside a folder sees all copies there, and a search inside spam sees spam.
     """
     terms = list(terms)
+    messages = with_index(messages) if _ranked(terms) else messages
     inside = {t.type for t in terms if isinstance(t, Folder) and not t.negated}
     remove_copies = not inside
     remove_spam = not include_spam and "spam" not in inside
@@ -182,10 +186,15 @@ def search_view(
     return _ordered_rows(messages, found, terms, limit, offset, columns)
 
 
+def _ranked(terms: list[Term]) -> list[Text]:
+    """The positive text terms; with none of them results come newest first."""
+    return [t for t in terms if isinstance(t, Text) and not t.negated]
+
+
 def _ordered_rows(
     messages: DataFrame, found: DataFrame, terms: list[Term], limit: int, offset: int, columns: Iterable[str]
 ) -> DataFrame:
-    wanted = [t for t in terms if isinstance(t, Text) and not t.negated]
+    wanted = _ranked(terms)
     columns = list(columns)
     if wanted:
         stats = corpus_stats(messages, wanted)

@@ -43,3 +43,9 @@ def write_indexed(messages: DataFrame, path: str, spread: int = 32) -> None:
 
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{MESSAGES}, {INDEX}").parquet(path)
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of an input with fewer partitions than cores, by hash of ``key``; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
