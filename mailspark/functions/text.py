@@ -33,7 +33,7 @@ DROPPED_MARKS = "".join(
 
 # Lower-case letters with a second spelling.
 LETTER_VARIANTS = {
-    "µ": "μ", "ſ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε",
+    "µ": "μ", "ſ": "s", "ẛ": "s", "ς": "σ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε",
 }
 
 
