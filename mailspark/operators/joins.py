@@ -1,8 +1,9 @@
 """Key joins that stay even when one key holds a large share of the rows.
 
 The left side gets a salt from a column that differs between rows, the key side is repeated once
-per salt. A key with a third of all rows is then spread over ``SALTS`` tasks. When the key side is
-small Spark broadcasts it by its own size check and the salt costs one hash per row.
+per salt. A key with a third of all rows is then spread over ``SALTS`` shuffle partitions, and Spark's
+adaptive skew join cuts those further to its target size. When the key side is small Spark broadcasts
+it by its own size check and the salt costs one hash per row.
 """
 
 from __future__ import annotations

@@ -16,10 +16,9 @@ def _filled(name: str) -> Column:
     return F.count_if(F.coalesce(F.col(name), F.lit("")) != "")
 
 
-def profile_messages(messages: DataFrame) -> DataFrame:
-    """One row of counts, flag sums and the first and last date text."""
+def _totals() -> list[Column]:
     read = _total("is_read")
-    return messages.agg(
+    return [
         F.count(F.lit(1)).alias("total"),
         F.coalesce(F.min("date"), F.lit("")).alias("first_date"),
         F.coalesce(F.max("date"), F.lit("")).alias("last_date"),
@@ -30,7 +29,31 @@ def profile_messages(messages: DataFrame) -> DataFrame:
         _filled("body_html").alias("with_html"),
         _filled("body_text").alias("with_text"),
         _total("is_draft").alias("drafts"),
-    )
+    ]
+
+
+def _lengths() -> list[Column]:
+    def span(name: str) -> list[Column]:
+        size = F.length(name)
+        return [
+            F.coalesce(F.min(size), F.lit(0)).cast("long").alias(f"{name}_min"),
+            F.coalesce(F.max(size), F.lit(0)).cast("long").alias(f"{name}_max"),
+            F.coalesce(F.avg(size), F.lit(0.0)).alias(f"{name}_avg"),
+        ]
+
+    return span("subject") + span("body_text") + span("snippet")
+
+
+def _recipients() -> list[Column]:
+    def mean(name: str) -> Column:
+        return F.coalesce(F.avg(F.coalesce(F.json_array_length(name), F.lit(0))), F.lit(0.0))
+
+    return [mean(f"{kind}_addresses").alias(f"{kind}_avg") for kind in ("to", "cc", "bcc")]
+
+
+def profile_messages(messages: DataFrame) -> DataFrame:
+    """One row of counts, flag sums and the first and last date text."""
+    return messages.agg(*_totals())
 
 
 def profile_distinct(messages: DataFrame, approximate: bool = False) -> DataFrame:
@@ -43,28 +66,14 @@ def profile_distinct(messages: DataFrame, approximate: bool = False) -> DataFram
     )
 
 
-def _lengths(name: str) -> list[Column]:
-    size = F.length(name)
-    return [
-        F.coalesce(F.min(size), F.lit(0)).cast("long").alias(f"{name}_min"),
-        F.coalesce(F.max(size), F.lit(0)).cast("long").alias(f"{name}_max"),
-        F.coalesce(F.avg(size), F.lit(0.0)).alias(f"{name}_avg"),
-    ]
-
-
 def profile_lengths(messages: DataFrame) -> DataFrame:
     """Shortest, longest and mean length in characters of subjects, text bodies and snippets."""
-    return messages.agg(*[c for name in ("subject", "body_text", "snippet") for c in _lengths(name)])
+    return messages.agg(*_lengths())
 
 
 def profile_recipients(messages: DataFrame) -> DataFrame:
     """Mean number of recipients; missing lists and text that is no list count as none."""
-    def mean(name: str) -> Column:
-        return F.coalesce(F.avg(F.coalesce(F.json_array_length(name), F.lit(0))), F.lit(0.0))
-
-    return messages.agg(
-        mean("to_addresses").alias("to_avg"), mean("cc_addresses").alias("cc_avg"), mean("bcc_addresses").alias("bcc_avg")
-    )
+    return messages.agg(*_recipients())
 
 
 def folder_profile(messages: DataFrame, folders: DataFrame) -> DataFrame:
@@ -109,10 +118,8 @@ def profile_document(tables: dict[str, DataFrame]) -> DataFrame:
     subqueries, each a one-row aggregate.
     """
     messages, folders = tables["messages"], tables["folders"]
-    stats = profile_messages(messages).select(F.struct("*")).scalar()
+    stats = messages.agg(*_totals(), *_lengths(), *_recipients()).select(F.struct("*")).scalar()
     distinct = profile_distinct(messages).select(F.struct("*")).scalar()
-    lengths = profile_lengths(messages).select(F.struct("*")).scalar()
-    recipients = profile_recipients(messages).select(F.struct("*")).scalar()
 
     sized = folder_profile(messages, folders).select(
         F.struct((-F.col("messages")).alias("order"), "folder_id", "type", "messages", "unread").alias("f")
@@ -133,7 +140,7 @@ def profile_document(tables: dict[str, DataFrame]) -> DataFrame:
 
     def span(name: str) -> Column:
         return F.struct(
-            lengths[f"{name}_min"].alias("min"), lengths[f"{name}_max"].alias("max"), lengths[f"{name}_avg"].alias("avg")
+            stats[f"{name}_min"].alias("min"), stats[f"{name}_max"].alias("max"), stats[f"{name}_avg"].alias("avg")
         ).alias(f"{name}_len")
 
     names = ("read", "unread", "flagged", "has_attachments", "with_html", "with_text", "drafts")
@@ -150,7 +157,7 @@ def profile_document(tables: dict[str, DataFrame]) -> DataFrame:
             *[stats[c].alias(c) for c in names],
             months.scalar().alias("per_month"),
             *[span(c) for c in ("subject", "body_text", "snippet")],
-            recipients.alias("recipients"),
+            F.struct(*[stats[c].alias(c) for c in ("to_avg", "cc_avg", "bcc_avg")]).alias("recipients"),
         ).alias("messages"),
         rows.alias("table_rows"),
     )

@@ -217,19 +217,15 @@ def skip(rows: DataFrame, order: tuple, count: int) -> DataFrame:
     """Rows after the first ``count``, without moving all rows through one task.
 
     Only the sort keys of the first ``count`` rows are ranked; the last of them is the bound the
-    other rows are compared with.
+    other rows are compared with. All keys of ``order`` point the same way. The cost grows with
+    ``count``; ``keyset_page`` has no such cost.
     """
     sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     keys = [c for c, _ in order]
+    last = F.max if order[0][1] else F.min
     first = rows.select(*keys).orderBy(*sort).limit(count)
-    bound = first.orderBy(*[s for s in _reversed(order)]).limit(1)
-    bound = bound.select(F.struct(*keys)).scalar()
-    enough = first.agg(F.count(F.lit(1)) == count).scalar()
-    return rows.filter(enough & after(order, [bound[c] for c in keys]))
-
-
-def _reversed(order: tuple) -> list[Column]:
-    return [F.col(c).desc() if up else F.col(c).asc() for c, up in order]
+    bound = first.agg(F.struct(F.count(F.lit(1)).alias("found"), last(F.struct(*keys)).alias("last"))).scalar()
+    return rows.filter((bound["found"] == count) & after(order, [bound["last"][c] for c in keys]))
 
 
 def after(order: tuple, values: list) -> Column:

@@ -11,17 +11,18 @@ from pyspark.sql.streaming import StreamingQuery
 from mailspark.operators.counters import unread_deltas
 from mailspark.operators.index import apply_changes, index_table, newest_changes, search_text
 
-BUCKETS = 16
+# Rows per bucket. New mail has new row ids, so a batch of changes touches few buckets.
+BUCKET_ROWS = 1 << 20
 
 
-def _bucket(buckets: int):
-    return F.pmod(F.xxhash64("rowid"), F.lit(buckets)).cast("int")
+def _bucket(bucket_rows: int):
+    return F.floor(F.col("rowid") / bucket_rows)
 
 
-def write_buckets(table: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Store a table by hashed row id; changes later rewrite only the buckets they touch."""
-    placed = table.withColumn("bucket", _bucket(buckets))
-    placed.repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
+def write_buckets(table: DataFrame, path: str, bucket_rows: int = BUCKET_ROWS) -> None:
+    """Store a table by ranges of row ids; changes later rewrite only the buckets they touch."""
+    placed = table.withColumn("bucket", _bucket(bucket_rows))
+    placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 def _is_complete(spark: SparkSession, folder: str) -> bool:
@@ -29,7 +30,7 @@ def _is_complete(spark: SparkSession, folder: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
-def upsert(spark: SparkSession, path: str, changes: DataFrame, change_set: str, buckets: int = BUCKETS) -> None:
+def upsert(spark: SparkSession, path: str, changes: DataFrame, change_set: str, bucket_rows: int = BUCKET_ROWS) -> None:
     """Apply message changes (``op``, ``seq``, message columns) to the index stored at ``path``.
 
     New bucket contents are written aside first and then moved in by a partition overwrite. A
@@ -41,11 +42,11 @@ def upsert(spark: SparkSession, path: str, changes: DataFrame, change_set: str,
         newest = newest_changes(changes)
         texts = search_text(newest).join(newest.select("rowid", "op", "seq"), "rowid")
         rows = index_table(texts).join(texts.select("rowid", "op", "seq"), "rowid")
-        touched = newest.select(_bucket(buckets).alias("bucket")).distinct()
-        current = spark.read.parquet(path).filter(F.col("rowid").isNotNull()).join(F.broadcast(touched), "bucket", "left_semi").drop("bucket")
-        after = apply_changes(current, rows).withColumn("bucket", _bucket(buckets))
+        touched = newest.select(_bucket(bucket_rows).alias("bucket")).distinct()
+        current = spark.read.parquet(path).filter(F.col("rowid").isNotNull()).join(touched, "bucket", "left_semi").drop("bucket")
+        after = apply_changes(current, rows).withColumn("bucket", _bucket(bucket_rows))
         after.unionByName(touched, allowMissingColumns=True).write.mode("overwrite").parquet(staged)
-    out = spark.read.parquet(staged).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket")
+    out = spark.read.parquet(staged).repartition("bucket").write.mode("overwrite").partitionBy("bucket")
     out.option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
@@ -54,12 +55,12 @@ def read_buckets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("rowid").isNotNull()).drop("bucket")
 
 
-def follow_changes(changes: DataFrame, path: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
+def follow_changes(changes: DataFrame, path: str, checkpoint: str, bucket_rows: int = BUCKET_ROWS) -> StreamingQuery:
     """Apply a stream of message changes to the stored index."""
     stream = hashlib.md5(checkpoint.encode()).hexdigest()
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        upsert(batch.sparkSession, path, batch, f"{stream}-{batch_id}", buckets)
+        upsert(batch.sparkSession, path, batch, f"{stream}-{batch_id}", bucket_rows)
 
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

@@ -114,14 +114,14 @@ def test_index_upkeep(spark, mail, tmp_path):
     from pyspark.sql import functions as F
 
     path = str(tmp_path / "index")
-    upkeep.write_buckets(index_table(mail(*[{"subject": f"word{n}"} for n in range(1, 21)])), path, buckets=4)
+    upkeep.write_buckets(index_table(mail(*[{"subject": f"word{n}"} for n in range(1, 21)])), path, bucket_rows=6)
     changes = mail({"rowid": 3, "subject": "new"}, {"rowid": 3, "subject": "newest"}, {"rowid": 4}, {"rowid": 99, "subject": "added"})
     changes = changes.withColumn("seq", F.monotonically_increasing_id()).withColumn("op", F.when(F.col("rowid") == 4, "delete").otherwise("update"))
     changes = changes.withColumn("seq", F.when(F.col("subject") == "newest", 1000000).otherwise(F.lit(1)))
     for _ in range(2):  # a rerun of the same change set changes nothing
-        upkeep.upsert(spark, path, changes, "one", buckets=4)
+        upkeep.upsert(spark, path, changes, "one", bucket_rows=6)
         got = {r.rowid: r.pad_subject.strip() for r in upkeep.read_buckets(spark, path).collect()}
         assert got == {n: f"word{n}" for n in range(1, 21) if n not in (3, 4)} | {3: "newest", 99: "added"}
     gone = mail(*[{"rowid": n} for n in got]).withColumn("seq", F.lit(1)).withColumn("op", F.lit("delete"))
-    upkeep.upsert(spark, path, gone, "two", buckets=4)
+    upkeep.upsert(spark, path, gone, "two", bucket_rows=6)
     assert upkeep.read_buckets(spark, path).count() == 0
