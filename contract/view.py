@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions.display import snippet
+from mailspark.scratch import scratch_dir
 from mailspark.sources.mailbox import spread
 
 NOW = datetime(2024, 1, 20)
@@ -144,7 +145,9 @@ def profile_tables(spark: SparkSession, sf_dir: str, archive: bool = False) -> d
     tables["settings"] = regions.select(
         F.when(F.col("r_regionkey") == 0, "schema_version").otherwise(F.col("r_name")).alias("key"), F.lit("13").alias("value")
     )
-    mail = messages(spark, sf_dir, html=True)
+    path = scratch_dir(spark, "mail")
+    messages(spark, sf_dir, html=True).write.parquet(path)
+    mail = spark.read.parquet(path)
     tables |= {"messages": mail, "folders": folders(spark, archive), "accounts": mail.select(F.col("account_id").alias("id")).distinct()}
     return tables
 

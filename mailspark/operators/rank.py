@@ -38,11 +38,11 @@ def corpus_stats(messages: DataFrame, terms: list[Text]) -> DataFrame:
 
 def bm25(messages: DataFrame, terms: list[Text], stats: DataFrame) -> Column:
     """Score of a message for the positive terms; lower is better. ``stats`` is read as a scalar subquery."""
-    total = stats.select(F.col("messages").cast("double")).scalar()
-    mean = stats.select("mean_len").scalar()
+    corpus = stats.select(F.struct("*")).scalar()
+    total, mean = corpus["messages"].cast("double"), corpus["mean_len"]
     score = F.lit(0.0)
     for i, term in enumerate(terms):
-        holding = stats.select(F.col(f"hits_{i}").cast("double")).scalar()
+        holding = corpus[f"hits_{i}"].cast("double")
         raw = F.ln((total - holding + 0.5) / (holding + 0.5))
         idf = F.when(raw > 0, raw).otherwise(F.lit(FLOOR_IDF))
         found = frequency(messages, term).cast("double")

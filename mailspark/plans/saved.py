@@ -30,6 +30,17 @@ FALSE_WORDS = ("false", "0", "no", "n", "off")
 TERM = r'-?(?:"[^"]*"|"[^"]*\z|[A-Za-z_]\w*:(?:"[^"]*"|"[^"]*\z|[^\s"]\S*|)|[^\s"]\S*)'
 UNTERMINATED = r'^(?:[A-Za-z_]\w*:)?"[^"]*\z'
 
+# What is said about a term that cannot be read.
+FOLDER_LIST = ", ".join(FOLDER_TYPES)
+UNTERMINATED_QUOTE = "unterminated quote in query"
+UNKNOWN_FIELD = 'unknown field: "%s"'
+TEXT_NEEDS_VALUE = 'field "%s" requires a value'
+BAD_BOOLEAN = '%s: invalid boolean value "%s"'
+DATE_NEEDS_VALUE = "%s: requires a date or duration value"
+BAD_DATE = '%s: invalid date or duration "%s"'
+FOLDER_NEEDS_VALUE = f"%s requires a folder ({FOLDER_LIST})"
+UNKNOWN_FOLDER = f'unknown folder "%s" (want {FOLDER_LIST})'
+
 COLUMN_BITS = {c: 1 << i for i, c in enumerate(TEXT_COLUMNS)}
 ALL_BITS = sum(COLUMN_BITS.values())
 FIELD_BITS = {field: sum(COLUMN_BITS[c] for c in columns) for field, columns in TEXT_FIELDS.items()}
@@ -71,25 +82,17 @@ def parse_searches(searches: DataFrame, now: datetime, text: str = "search_text"
     terms = terms.withColumn("kind", kind)
     is_kind = {k: F.col("kind") == k for k in ("text", "flag", "date", "folder")}
     terms = terms.withColumn("cutoff", F.when(is_kind["date"], cutoff_column(value, now)))
-    folder_list = ", ".join(FOLDER_TYPES)
+    flag_words = TRUE_WORDS + FALSE_WORDS
+    blank = value == ""
     error = (
-        F.when(F.col("unterminated"), F.lit("unterminated quote in query"))
-        .when(F.col("kind") == "error", F.concat(F.lit('unknown field: "'), field, F.lit('"')))
-        .when(is_kind["text"] & (value == ""), F.concat(F.lit('field "'), field, F.lit('" requires a value')))
-        .when(
-            is_kind["flag"] & ~word.isin(*TRUE_WORDS, *FALSE_WORDS),
-            F.concat(field, F.lit(': invalid boolean value "'), value, F.lit('"')),
-        )
-        .when(is_kind["date"] & (value == ""), F.concat(field, F.lit(": requires a date or duration value")))
-        .when(
-            is_kind["date"] & F.col("cutoff").isNull(),
-            F.concat(field, F.lit(': invalid date or duration "'), value, F.lit('"')),
-        )
-        .when(is_kind["folder"] & (value == ""), F.concat(field, F.lit(f" requires a folder ({folder_list})")))
-        .when(
-            is_kind["folder"] & ~word.isin(*FOLDER_TYPES),
-            F.concat(F.lit('unknown folder "'), word, F.lit(f'" (want {folder_list})')),
-        )
+        F.when(F.col("unterminated"), UNTERMINATED_QUOTE)
+        .when(F.col("kind") == "error", F.format_string(UNKNOWN_FIELD, field))
+        .when(is_kind["text"] & blank, F.format_string(TEXT_NEEDS_VALUE, field))
+        .when(is_kind["flag"] & ~word.isin(*flag_words), F.format_string(BAD_BOOLEAN, field, value))
+        .when(is_kind["date"] & blank, F.format_string(DATE_NEEDS_VALUE, field))
+        .when(is_kind["date"] & F.col("cutoff").isNull(), F.format_string(BAD_DATE, field, value))
+        .when(is_kind["folder"] & blank, F.format_string(FOLDER_NEEDS_VALUE, field))
+        .when(is_kind["folder"] & ~word.isin(*FOLDER_TYPES), F.format_string(UNKNOWN_FOLDER, word))
     )
     terms = terms.withColumn("error", error)
     good = F.col("error").isNull()

@@ -204,3 +204,23 @@ def test_stats_count_the_whole_corpus(mail):
     rows = with_index(mail({"subject": "a a"}, {"subject": "b"}))
     row = rank.corpus_stats(rows, [text("a", field="subject"), text("zz")]).collect()[0]
     assert (row.messages, row.hits_0, row.hits_1) == (2, 1, 0)
+
+
+def test_view_with_one_message_id_on_a_third_of_the_rows(spark, mail):
+    folders = spark.createDataFrame([("in", "inbox"), ("sp", "spam"), ("all", "custom")], "id string, type string")
+    rng = random.Random(9)
+    rows = []
+    for n in range(1, 301):
+        identity = "<hot>" if n % 3 == 0 else rng.choice([None, "", f"<{n % 40}>"])
+        rows.append({"id": f"m{n:03}", "rowid": n, "message_id": identity, "folder_id": "sp" if n % 37 == 0 and identity != "<hot>" else rng.choice(["in", "all"])})
+    spam = {r["message_id"] for r in rows if r["folder_id"] == "sp" and r["message_id"]}
+    kept, seen = [], set()
+    for row in rows:
+        if row["message_id"] and (row["message_id"] in spam or row["message_id"] in seen):
+            continue
+        seen.add(row["message_id"])
+        kept.append(row["id"])
+    frame = mail(*rows)
+    assert sorted(ids(S.search_view(frame, folders, limit=0))) == kept
+    visible = [r["id"] for r in rows if not r["message_id"] or r["message_id"] not in spam]
+    assert sorted(ids(S.hide_spam(frame, folders))) == visible
