@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contract import view as V
-from mailspark.functions import bodies, dates, display, events
-from mailspark.operators import counters, index, profile, rank
+from mailspark.functions import bodies, dates, display
+from mailspark.operators import counters, events, index, profile, rank
 from mailspark.operators import search as S
 from mailspark.operators.terms import before, flag, folder, since, text
 from mailspark.plans import saved, synth

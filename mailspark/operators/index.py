@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.functions.dates import instant
 from mailspark.functions.text import TEXT_COLUMNS, pad, token_array, token_count
 from mailspark.schemas import ADDRESSES
 
@@ -48,6 +49,11 @@ def doc_length(messages: DataFrame) -> Column:
     return sum((token_count(padded(messages, c)) for c in TEXT_COLUMNS[1:]), token_count(padded(messages, TEXT_COLUMNS[0])))
 
 
+def with_instant(messages: DataFrame) -> DataFrame:
+    """Messages with ``ts``, the instant of the stored date text."""
+    return messages if "ts" in messages.columns else messages.withColumn("ts", instant(F.col("date")))
+
+
 def once(rows: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns that are computed once per row however often they are used.
 

@@ -13,12 +13,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.operators.index import with_index, with_pads
+from mailspark.operators.index import with_index, with_instant, with_pads
 from mailspark.operators.joins import SALTS, salt_of, salted_join
 from mailspark.operators.rank import bm25, corpus_stats, matches
 from mailspark.operators.terms import Flag, Folder, Term, Text, When
 from mailspark.schemas import DETAIL_COLUMNS, LIST_COLUMNS, result_column
-from mailspark.sources.mailbox import with_instant
 
 NEWEST = (("date", False), ("id", False))
 BEST = (("score", True), ("id", True))

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.functions.dates import instant
-from mailspark.operators.index import with_index
+from mailspark.operators.index import with_index, with_instant
 from mailspark.schemas import INDEX, MESSAGES, TABLES
 
 
@@ -20,10 +19,6 @@ def read_messages(spark: SparkSession, root: str) -> DataFrame:
     return with_instant(read_table(spark, root, "messages"))
 
 
-def with_instant(messages: DataFrame) -> DataFrame:
-    return messages if "ts" in messages.columns else messages.withColumn("ts", instant(F.col("date")))
-
-
 def write_indexed(messages: DataFrame, path: str) -> None:
     """Store messages with their search index, by month of their date and sorted by instant inside a file.
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mailspark.functions.events import to_events
+from mailspark.operators.events import to_events
 from mailspark.operators.joins import SALTS
 from mailspark.operators.search import NEWEST, filtered, take
 from mailspark.operators.terms import Term

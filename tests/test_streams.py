@@ -1,7 +1,7 @@
 import pytest
 from conftest import ids
 
-from mailspark.functions import events
+from mailspark.operators import events
 from mailspark.operators.index import index_table
 from mailspark.operators.terms import flag, text
 from mailspark.sources.mailbox import with_instant
