@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, simhash
+from mailspark.llm import decontaminate, secrets, simhash, urls
 from mailspark.llm.common import read
 
 
@@ -13,9 +13,23 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by fixed patterns and by windowed entropy."""
+    return secrets.secret_digest(read(spark, sf_dir, "documents"))
+
+
+#: Rules of the URL query: action, host, path.
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block and allow decisions for pages, passed on to aliases."""
+    return urls.verdicts(spark, read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 3-word shingles and their classes at 2 differing bits."""
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_secrets, op7_urls, op10_simhash)}
