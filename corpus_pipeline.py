@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, simhash
+from mailspark.llm import decontaminate, simhash, toxicity
 from mailspark.llm.common import read, stored
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorization machine scores at the threshold or above go."""
+    return toxicity.without_toxic(docs, read(spark, sf_dir, "labels"))
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash class stays, the one with the smallest id."""
     return simhash.deduplicated(spark, docs, distance=2, shingle=3, seed=42)
@@ -19,6 +24,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 STAGES = [
+    ("toxicity", drop_toxic),
     ("simhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
 ]

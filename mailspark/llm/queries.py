@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, secrets, simhash, urls
+from mailspark.llm import decontaminate, secrets, simhash, toxicity, urls
 from mailspark.llm.common import read
 
 
@@ -27,9 +27,14 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of a factorization machine."""
+    return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of 3-word shingles and their classes at 2 differing bits."""
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_secrets, op7_urls, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_secrets, op7_urls, op9_toxicity, op10_simhash)}
