@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, simhash, toxicity
+from mailspark.llm import decontaminate, simhash, token_files, toxicity
 from mailspark.llm.common import read, stored
+from mailspark.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +24,16 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return decontaminate.decontaminated(spark, docs, read(spark, sf_dir, "benchmark"))
 
 
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of what is left; returns each document's place in them."""
+    return token_files.token_table(spark, docs, tokenizer_path())
+
+
 STAGES = [
     ("toxicity", drop_toxic),
     ("simhash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
+    ("token-ID / binary output", write_tokens),
 ]
 
 #: Fingerprint hashes and learned scores are not SQL; tests compare with plain Python.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, secrets, simhash, toxicity, urls
+from mailspark.llm import decontaminate, secrets, simhash, token_files, toxicity, urls
 from mailspark.llm.common import read
 
 
@@ -18,6 +18,17 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(read(spark, sf_dir, "documents"))
 
 
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of all documents, written as Huffman-coded files and read back."""
+    return token_files.token_table(spark, read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: Rules of the URL query: action, host, path.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 
@@ -37,4 +48,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_secrets, op7_urls, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_secrets, op6_token_files, op7_urls, op9_toxicity, op10_simhash)}
