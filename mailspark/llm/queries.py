@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, language, secrets, simhash, token_files, toxicity, urls
+from mailspark.llm import decontaminate, language, lm, secrets, simhash, token_files, toxicity, urls
 from mailspark.llm.common import read
 
 
@@ -13,6 +13,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of each document under a hierarchical Pitman-Yor model, and under smoothed unigrams."""
+    return lm.scores(spark, read(spark, sf_dir, "documents"))
+
+
 def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of each document by segmentation-marginalised unigrams."""
     return language.languages(spark, read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
@@ -53,4 +58,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op3_language, op5_secrets, op6_token_files, op7_urls, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm, op3_language, op5_secrets, op6_token_files, op7_urls, op9_toxicity, op10_simhash)}
