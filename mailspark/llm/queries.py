@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailspark.llm import decontaminate, language, lm, secrets, simhash, token_files, toxicity, urls
+from mailspark.llm import decontaminate, language, lm, mixing, secrets, simhash, spotsigs, token_files, toxicity, urls
 from mailspark.llm.common import read
 
 
@@ -23,6 +23,11 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(spark, read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of each document and of its text edited with the next one's."""
+    return spotsigs.fingerprints(spark, read(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by fixed patterns and by windowed entropy."""
     return secrets.secret_digest(read(spark, sf_dir, "documents"))
@@ -48,6 +53,15 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.verdicts(spark, read(spark, sf_dir, "pages"), URL_RULES)
 
 
+#: Shares of the tokens grow as this power of what there is: small sources and languages are raised, topics stay.
+MIX_POWER = {"source": 0.7, "lang": 0.8, "topic": 1.0}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked weights of (source, language, topic) cells and the documents drawn by them."""
+    return mixing.mix_table(spark, read(spark, sf_dir, "documents"), power=MIX_POWER)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of a factorization machine."""
     return toxicity.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
@@ -58,4 +72,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_lm, op3_language, op5_secrets, op6_token_files, op7_urls, op9_toxicity, op10_simhash)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_lm, op3_language, op4_spotsigs, op5_secrets, op6_token_files, op7_urls, op8_mixing, op9_toxicity, op10_simhash,
+    )
+}
