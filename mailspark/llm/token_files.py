@@ -95,27 +95,40 @@ class PieceCoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[int, bytes] = {}
-
-    def learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        texts = [p.decode() for p in pieces]
-        lines = [k for k, t in enumerate(texts) if not any(map(str.isspace, t[1:])) and t.strip()]
-        alone = sorted(set(range(len(texts))) - set(lines))
-        for k, e in zip(alone, self.tokenizer.encode_batch_fast([texts[k] for k in alone], add_special_tokens=False)):
-            self.known[keys[k]] = np.array(e.ids, dtype=np.uint32).tobytes()
-        # many pieces as lines of one text: a line break is a piece of its own between any two of them
-        for first in range(0, len(lines), 1000):
-            some = lines[first : first + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(texts[k] for k in some)], add_special_tokens=False)[0].ids, dtype=np.uint32)
-            cut = np.flatnonzero(ids == self.break_id[0])
-            parts = np.split(ids, cut)
-            if len(self.break_id) != 1 or len(parts) != len(some):
-                parts = [np.array([0, *e.ids], dtype=np.uint32) for e in self.tokenizer.encode_batch_fast([texts[k] for k in some], add_special_tokens=False)]
+        self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[int, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, keys: list[int], pieces: list[bytes], alone: bool) -> None:
+        """Remember the ids of pieces. Unless ``alone``, many are encoded as the lines of one text: a line break is a piece of its own between any two that aren't white space."""
+        flat, start, size = [self.flat], [self.start], [self.size]
+        filled = len(self.flat)
+        for first in range(0, len(pieces), 2000):
+            some = pieces[first : first + 2000]
+            ids = np.zeros(0, dtype=np.uint32)
+            cut = ids
+            if not alone:
+                ids = np.array(self.ids_of([b"\n".join(some).decode()])[0], dtype=np.uint32)
+                cut = np.flatnonzero(ids == self.break_id)
+            if alone or len(cut) != len(some) - 1:
+                each = self.ids_of([p.decode() for p in some])
+                sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+                ids, begin = np.array([k for e in each for k in e], dtype=np.uint32), np.cumsum(sizes) - sizes
             else:
-                parts[0] = np.concatenate([[np.uint32(0)], parts[0]])
-            for k, part in zip(some, parts):
-                self.known[keys[k]] = part[1:].astype(np.uint32).tobytes()
+                begin = np.concatenate([[0], cut + 1])
+                sizes = np.append(cut, len(ids)) - begin
+            flat.append(ids)
+            start.append(begin + filled)
+            size.append(sizes)
+            filled += len(ids)
+        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
+        self.flat, self.start, self.size = np.concatenate(flat), np.concatenate(start), np.concatenate(size)
 
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, number of ids of each)."""
@@ -127,26 +140,28 @@ class PieceCoder:
         row_points = np.searchsorted(first_byte, bounds)
         row_starts = np.zeros(len(points), dtype=bool)
         row_starts[row_points[:-1][row_points[:-1] < len(points)]] = True
-        start = first_byte[np.flatnonzero(piece_starts(points, row_starts))]
+        first_point = np.flatnonzero(piece_starts(points, row_starts))
+        start = first_byte[first_point]
         end = np.append(start[1:], len(data))
+        white = code_point_classes()[points[np.append(first_point[1:], len(points)) - 1]] == SPACE
         lead = np.zeros(len(data) + 1, dtype=np.uint64)
         up, down = POWERS.upto(len(data) + 1)
         np.cumsum(SPREAD[data] * up[: len(data)], dtype=np.uint64, out=lead[1:])
         hashes = mixed((lead[end] - lead[start]) * down[start] + (end - start).astype(np.uint64))
         distinct, place, which = np.unique(hashes, return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = [k for k, h in enumerate(keys) if h not in self.known]
+        if len(self.number) > REMEMBERED:
+            self.forget()
+        missing = np.array([k for k, h in enumerate(keys) if h not in self.number], dtype=np.int64)
         raw = data.tobytes()
-        self.learn([keys[k] for k in missing], [raw[start[place[k]] : end[place[k]]] for k in missing])
-        coded = [self.known[h] for h in keys]
-        flat = np.frombuffer(b"".join(coded), dtype=np.uint32)
-        sizes = np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) // 4
-        offsets = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        each = sizes[which]
+        for alone in (False, True):
+            some = missing[white[place[missing]] == alone]
+            at = place[some]
+            self.learn(distinct[some].tolist(), [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())], alone)
+        number = np.fromiter(map(self.number.__getitem__, keys), dtype=np.int64, count=len(keys))[which]
+        each = self.size[number]
         ahead = np.concatenate([[0], np.cumsum(each)])
-        ids = flat[np.repeat(offsets[which] - ahead[:-1], each) + np.arange(ahead[-1])]
+        ids = self.flat[np.repeat(self.start[number] - ahead[:-1], each) + np.arange(ahead[-1])]
         return ids, np.diff(ahead[np.searchsorted(start, bounds)])
 
 
