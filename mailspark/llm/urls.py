@@ -75,10 +75,13 @@ def fitting_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
     return named.join(rules, "rule_host").groupBy("host").agg(F.collect_set(rule).alias("rules"))
 
 
-def with_rule(rows: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rows`` (host, path, ...) with ``best``: the struct of the winning rule or null."""
+def with_rule(spark: SparkSession, rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """``rows`` (host, path, ...) with ``best``: the struct of the winning rule or null.
+
+    The hosts' rules are written first: the join then knows their size, and where it shuffles, a hot host's rows can be split.
+    """
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
-    return rows.join(fitting_rules(rows.select("host"), rules), "host", "left").withColumn("best", best).drop("rules")
+    return rows.join(stored(spark, fitting_rules(rows.select("host"), rules), "host-rules"), "host", "left").withColumn("best", best).drop("rules")
 
 
 def verdicts(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str, str]] | DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -93,7 +96,7 @@ def verdicts(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str,
         links = links.union(redirects.select("from_url", "to_url"))
     groups = components(links.select(parts(F.col("from_url"))[2].alias("a"), parts(F.col("to_url"))[2].alias("b")))
     node = F.concat(F.lit("any://"), F.col("node"))
-    judged = with_rule(groups.select("node", "component", parts(node)[0].alias("host"), parts(node)[1].alias("path")), rules)
+    judged = with_rule(spark, groups.select("node", "component", parts(node)[0].alias("host"), parts(node)[1].alias("path")), rules)
     decided = judged.groupBy("component").agg(F.max(F.col("best.action") == "block").alias("blocks"), F.max("best.allows").alias("allows"))
     blocked = stored(
         spark,
@@ -101,7 +104,7 @@ def verdicts(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str,
         "blocked-urls",
     )
     host, path, node = parts(F.col("url"))
-    rows = with_rule(pages.select("page_id", host.alias("host"), path.alias("path"), node.alias("node")), rules)
+    rows = with_rule(spark, pages.select("page_id", host.alias("host"), path.alias("path"), node.alias("node")), rules)
     inherited = rows.join(blocked, rows["node"] == blocked["blocked_node"], "left")
     verdict = F.coalesce("best.action", F.when(F.col("blocked_node").isNotNull(), "block"), F.lit("allow"))
     return inherited.select("page_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
