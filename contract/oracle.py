@@ -346,7 +346,7 @@ def clean(sql: str) -> str:
 
 SQL["html_to_text"] = f"SELECT page_id, {html_text('html')} AS body FROM pages"
 SQL["clean_plain"] = f"SELECT doc_id, {clean('text')} AS body FROM documents"
-SQL["readable_body"] = f"""{WITH} SELECT id, coalesce(nullif({clean("CASE WHEN rowid % 2 = 0 THEN body_text END")}, ''),
+SQL["readable_body"] = f"""{WITH} SELECT id, coalesce(nullif({clean("body_text")}, ''),
   nullif({html_text('body_html')}, ''), {clean('snippet')}) AS body FROM m"""
 
 
@@ -355,7 +355,8 @@ SQL["readable_body"] = f"""{WITH} SELECT id, coalesce(nullif({clean("CASE WHEN r
 
 def searches(table: str, key: str) -> str:
     pair = "(\\p{L}+)[^\\p{L}]+(\\p{L}+)"
-    return f"""w AS (SELECT {key} AS k, regexp_extract(text, '{pair}', 1) AS a, regexp_extract(text, '{pair}', 2) AS b FROM {table}),
+    return f"""w AS (SELECT {key} AS k, regexp_extract(pair, '{pair}', 1) AS a, regexp_extract(pair, '{pair}', 2) AS b FROM (
+    SELECT {key}, coalesce(list_max(regexp_extract_all(text, '{pair}')), '') AS pair FROM {table})),
   s AS (SELECT k AS search_id, CASE k % 20 WHEN 0 THEN a || ' ' || b WHEN 1 THEN 'subject:' || a || ' unread:' WHEN 2 THEN '-' || a
     WHEN 3 THEN '"' || a || ' ' || b || '" -in:trash' WHEN 4 THEN 'from:src' || (k % 20) || '  -Flagged:no'
     WHEN 5 THEN 'in:inbox newer:10d' WHEN 6 THEN 'in:SPAM' WHEN 7 THEN 'body:"' || a || ' ' || b || '" older:1w'
@@ -453,7 +454,7 @@ SQL["watch_query"] = watch(f"{has(' the ', ('subject',))} AND NOT {IN.format('sp
 SQL["watch_capped"] = watch("is_read = 0", newest=7) + " SELECT batch, id FROM e"
 SQL["watch_window"] = watch("is_read = 0", window=20) + " SELECT batch, id FROM e"
 SQL["watch_events"] = (
-    watch("has_attachments = 1", newest=25)
+    watch("has_attachments = 1")
     + f" SELECT batch, 'new-message' AS name, 'attachments:' AS query, 'mail' AS source, id, {MARKS}, {payload(False)} AS payload FROM e"
 )
 

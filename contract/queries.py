@@ -113,7 +113,7 @@ def index_after_changes(spark, sf):
 @query
 def result_json(spark, sf):
     newest = S.search(V.messages(spark, sf), [flag("unread")], columns=("id", "date", "is_read", "subject"))
-    return events.result_json(newest, S.NEWEST)
+    return events.result_json(newest, S.NEWEST, 50)
 
 
 @query
@@ -156,7 +156,7 @@ def date_unreadable(spark, sf):
 
 @query
 def search_all(spark, sf):
-    return S.search(V.messages(spark, sf), limit=0)
+    return S.search(V.messages(spark, sf))
 
 
 @query
@@ -192,13 +192,13 @@ def corpus_stats(spark, sf):
 
 def _ranked(spark, sf, terms, **options):
     page = S.search(V.messages(spark, sf), terms, now=V.NOW, **options)
-    numbered = S.with_position(page, S.BEST, options.get("offset", 0))
+    numbered = S.with_position(page, S.BEST, options["limit"], options.get("offset", 0))
     return numbered.select("position", "id", "subject", F.round("score", 6).alias("score"))
 
 
 @query
 def search_ranked(spark, sf):
-    return _ranked(spark, sf, [text("of the"), text("and"), flag("unread")])
+    return _ranked(spark, sf, [text("of the"), text("and"), flag("unread")], limit=50)
 
 
 @query
@@ -324,27 +324,26 @@ def listing(spark, sf):
 
 @query
 def snippet(spark, sf):
-    both = mailbox.spread(V.table(spark, sf, "documents"), "doc_id").select(F.col("doc_id").alias("rowid"), "text")
+    both = V.table(spark, sf, "documents").select(F.col("doc_id").alias("rowid"), "text")
     return both.select("rowid", display.snippet(F.col("text")).alias("snippet"), dates.truncate(F.col("text"), 30).alias("cut"))
 
 
 @query
 def html_to_text(spark, sf):
-    pages = mailbox.spread(V.table(spark, sf, "pages"), "page_id")
+    pages = V.table(spark, sf, "pages")
     return pages.select("page_id", bodies.html_to_text(F.col("html")).alias("body"))
 
 
 @query
 def clean_plain(spark, sf):
-    documents = mailbox.spread(V.table(spark, sf, "documents"), "doc_id")
+    documents = V.table(spark, sf, "documents")
     return documents.select("doc_id", bodies.clean_plain(F.col("text")).alias("body"))
 
 
 @query
 def readable_body(spark, sf):
     mail = V.messages(spark, sf, flags=False, html=True)
-    no_text = F.when(F.col("rowid") % 2 == 0, F.col("body_text"))
-    return mail.select("id", bodies.readable_body(no_text, F.col("body_html"), F.col("snippet")).alias("body"))
+    return mail.select("id", bodies.readable_body(F.col("body_text"), F.col("body_html"), F.col("snippet")).alias("body"))
 
 
 @query
@@ -362,7 +361,7 @@ def saved_terms(spark, sf):
         "flag_column",
         F.col("flag_value").cast("long").alias("flag_value"),
         "date_op",
-        F.date_format("cutoff", "yyyy-MM-dd HH:mm:ss").alias("cutoff"),
+        dates.utc_text(F.col("cutoff")).alias("cutoff"),
         "folder",
         "error",
     )
@@ -414,22 +413,22 @@ def _watch(spark, sf, terms, known=False, **options):
 
 @query
 def watch_fresh(spark, sf):
-    return _watch(spark, sf, [flag("unread")], cap=0).select("batch", "id")
+    return _watch(spark, sf, [flag("unread")]).select("batch", "id")
 
 
 @query
 def watch_fire_existing(spark, sf):
-    return _watch(spark, sf, [], cap=0).select("batch", "id", "unread")
+    return _watch(spark, sf, []).select("batch", "id", "unread")
 
 
 @query
 def watch_baseline(spark, sf):
-    return _watch(spark, sf, [flag("unread")], known=True, cap=0).select("batch", "id")
+    return _watch(spark, sf, [flag("unread")], known=True).select("batch", "id")
 
 
 @query
 def watch_query(spark, sf):
-    return _watch(spark, sf, [text("the", field="subject"), ~folder("spam")], cap=0).select("batch", "id")
+    return _watch(spark, sf, [text("the", field="subject"), ~folder("spam")]).select("batch", "id")
 
 
 @query
@@ -439,7 +438,7 @@ def watch_capped(spark, sf):
 
 @query
 def watch_window(spark, sf):
-    return _watch(spark, sf, [flag("unread")], cap=0, window=20).select("batch", "id")
+    return _watch(spark, sf, [flag("unread")], window=20).select("batch", "id")
 
 
 @query

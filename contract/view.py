@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from mailspark.functions.display import snippet
 from mailspark.scratch import scratch_dir
-from mailspark.sources.mailbox import spread
 
 NOW = datetime(2024, 1, 20)
 
@@ -52,7 +51,7 @@ def folders(spark: SparkSession, archive: bool = False) -> DataFrame:
 
 def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool = False) -> DataFrame:
     """Messages with only the joins a query needs: ``flags`` brings in labels, ``html`` pages."""
-    d = spread(table(spark, sf_dir, "documents"), "doc_id")
+    d = table(spark, sf_dir, "documents")
     if flags:
         d = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
     if html:
@@ -70,6 +69,7 @@ def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool =
     to = F.concat(F.lit('[{"name":"User '), user, F.lit('","address":"u'), user, F.lit('@example.com"}]'))
     cc = F.concat(F.lit('[{"name":"Team '), user, F.lit('","address":"team@x.example"},{"address":"c'), user, F.lit('@x.example"}]'))
     ts = F.timestamp_seconds(F.lit(1704067200) + n * 3600)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), F.floor(n / 24).cast("int"))
     columns = {
         "rowid": n,
         "id": F.format_string("msg-%06d", n),
@@ -87,7 +87,7 @@ def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool =
         "body_text": F.when(~per(29), F.col("text")),
         "body_html": F.col("html") if html else None,
         "ts": ts,
-        "date": F.date_format(ts, "yyyy-MM-dd HH:mm:ss"),
+        "date": F.concat(day.cast("string"), F.lit(" "), F.lpad((n % 24).cast("string"), 2, "0"), F.lit(":00:00")),
         "is_read": F.coalesce("quality", F.lit(0)) if flags else None,
         "is_flagged": F.coalesce("toxic", F.lit(0)) if flags else None,
         "has_attachments": (F.col("n_chars") % 7 == 0).cast("int"),
@@ -97,14 +97,16 @@ def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool =
     return d.select(*[c.alias(k) for k, c in columns.items() if c is not None])
 
 
-def first_words(text: str = "text") -> tuple:
+def last_words(text: str = "text") -> tuple:
+    """The pair of neighbouring words of the whole text that sorts last."""
     pair = r"(\p{L}+)[^\p{L}]+(\p{L}+)"
-    return F.regexp_extract(text, pair, 1), F.regexp_extract(text, pair, 2)
+    last = F.coalesce(F.array_max(F.regexp_extract_all(text, F.lit(pair), F.lit(0))), F.lit(""))
+    return F.regexp_extract(last, pair, 1), F.regexp_extract(last, pair, 2)
 
 
 def saved_searches(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
-    """A search string made from the first words of every row of a table, covering every term kind and error."""
-    a, b = first_words()
+    """A search string made from two words of every row of a table, covering every term kind and error."""
+    a, b = last_words()
     shapes = [
         F.concat_ws(" ", a, b),
         F.concat(F.lit("subject:"), a, F.lit(" unread:")),

@@ -27,15 +27,37 @@ ABSOLUTE = r"^(\d{4}-\d{2}-\d{2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?|\d{4}/\d{2
 def instant(col: Column) -> Column:
     """Timestamp of a stored date text, null when it cannot be read."""
     text = F.trim(col)
-    return F.when(text.rlike(READABLE), F.try_to_timestamp(text))
+    return F.when(text.rlike(READABLE), utc_instant(text))
+
+
+def utc_instant(text: Column) -> Column:
+    """Timestamp of a date text that is meant in UTC unless it names a zone, in a session of any zone; null when it is no date."""
+    named = text.rlike(r"(Z|[+-]\d{2}:\d{2})$")
+    minutes = text.rlike(r"[ T]\d{1,2}:\d{2}$")
+    rest = F.when(named, "").when(F.length(text) == 10, " 00:00:00Z").when(minutes, ":00Z").otherwise("Z")
+    full = F.concat(text, rest)
+    return F.try_to_timestamp(full)
+
+
+def utc_text(ts: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` of an instant in UTC."""
+    seconds = F.unix_seconds(ts)
+    day = F.date_from_unix_date(F.floor(seconds / 86400).cast("int"))
+    clock = [F.lpad((F.pmod(seconds, F.lit(size * top)) / size).cast("int").cast("string"), 2, "0") for size, top in ((3600, 24), (60, 60), (1, 60))]
+    return F.concat(day.cast("string"), F.lit(" "), F.concat_ws(":", *clock))
+
+
+def utc_month(ts: Column) -> Column:
+    """``yyyy-MM`` of an instant in UTC."""
+    return F.substring(utc_text(ts), 1, 7)
 
 
 def display_date(col: Column) -> Column:
     """``yyyy-MM-dd HH:mm`` as written (the zone is not applied); other text is cut to 16 characters."""
     clock = F.regexp_replace(F.regexp_replace(col, r"(Z|[+-]\d{2}:\d{2})$", ""), "T", " ")
-    shown = F.date_format(F.try_to_timestamp(clock), "yyyy-MM-dd HH:mm")
+    shown = F.concat(F.substring(clock, 1, 10), F.lit(" "), F.coalesce(F.nullif(F.substring(clock, 12, 5), F.lit("")), F.lit("00:00")))
     text = F.coalesce(col, F.lit(""))
-    return F.coalesce(F.when(text.rlike(READABLE), shown), truncate(text, 16))
+    return F.coalesce(F.when(text.rlike(READABLE) & utc_instant(clock).isNotNull(), shown), truncate(text, 16))
 
 
 def truncate(col: Column, size: int) -> Column:
@@ -98,7 +120,7 @@ def cutoff_column(value: Column, now: datetime) -> Column:
     first = F.make_date(F.floor(month_no / 12).cast("int"), F.pmod(month_no, F.lit(12)) + 1, F.lit(1))
     shifted = F.date_add(first, now.day - 1)
     clock = F.lit(now.strftime("%H:%M:%S"))
-    by_month = F.try_to_timestamp(F.concat_ws(" ", F.date_format(shifted, "yyyy-MM-dd"), clock))
+    by_month = utc_instant(F.concat(shifted.cast("string"), F.lit(" "), clock))
     hours = (
         F.when(is_unit["hours"], amount.cast("long"))
         .when(is_unit["days"], amount.cast("long") * 24)
@@ -107,6 +129,6 @@ def cutoff_column(value: Column, now: datetime) -> Column:
     by_clock = F.timestamp_seconds(F.lit(int(now.replace(tzinfo=timezone.utc).timestamp())) - hours * 3600)
     absolute = F.when(
         text.rlike(ABSOLUTE),
-        F.date_trunc("second", F.try_to_timestamp(F.replace(text, F.lit("/"), F.lit("-")))),
+        F.timestamp_seconds(F.unix_seconds(utc_instant(F.replace(text, F.lit("/"), F.lit("-"))))),
     )
     return F.when(months.isNotNull(), by_month).when(hours.isNotNull(), by_clock).otherwise(absolute)

@@ -69,10 +69,10 @@ def decode_events(events: DataFrame, strict: bool = True) -> DataFrame:
     return events.withColumn("message", F.when(blank, bare).otherwise(parsed)).drop("payload")
 
 
-def result_json(page: DataFrame, order: tuple) -> DataFrame:
-    """A result page as one JSON array in list order, ``[]`` when empty. The page must carry a limit."""
+def result_json(page: DataFrame, order: tuple, limit: int) -> DataFrame:
+    """The first ``limit`` rows as one JSON array in list order, ``[]`` when empty; ``result_lines`` takes results of any size."""
     names = [c for c in page.columns if c != "position"]
-    numbered = with_position(page, order)
+    numbered = with_position(page, order, limit)
     entries = F.array_sort(F.collect_list(F.struct("position", F.struct(*names).alias("m"))))
     return numbered.agg(F.to_json(F.transform(entries, lambda e: e["m"])).alias("result"))
 

@@ -7,7 +7,7 @@ Messages are any DataFrame with the message columns. Stored index columns (``pad
 from __future__ import annotations
 
 from collections.abc import Iterable
-from datetime import datetime
+from datetime import datetime, timezone
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -46,7 +46,7 @@ def predicate(messages: DataFrame, terms: Iterable[Term], now: datetime | None =
 
 def _date_parts(messages: DataFrame, term: When, now: datetime | None) -> list[Column]:
     cutoff = term.cutoff(now)
-    limit = F.lit(cutoff.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp")
+    limit = F.timestamp_seconds(F.lit(int(cutoff.replace(tzinfo=timezone.utc).timestamp())))
     parts = [F.col("ts") >= limit if term.since else F.col("ts") < limit]
     if "month" in messages.columns:  # lets whole month folders be skipped
         month = F.lit(cutoff.strftime("%Y-%m"))
@@ -144,7 +144,7 @@ def search(
     *,
     folders: DataFrame | None = None,
     now: datetime | None = None,
-    limit: int = 50,
+    limit: int = 0,
     offset: int = 0,
     columns: Iterable[str] = LIST_COLUMNS,
 ) -> DataFrame:
@@ -164,7 +164,7 @@ def search_view(
     *,
     include_spam: bool = False,
     now: datetime | None = None,
-    limit: int = 50,
+    limit: int = 0,
     offset: int = 0,
     columns: Iterable[str] = LIST_COLUMNS,
 ) -> DataFrame:
@@ -246,13 +246,13 @@ def keyset_page(rows: DataFrame, size: int, last: tuple[str, str] | None = None)
     return take(behind, NEWEST, size)
 
 
-def with_position(result: DataFrame, order: tuple, offset: int = 0) -> DataFrame:
-    """Number the rows of one page; only for results that carry a limit."""
+def with_position(result: DataFrame, order: tuple, limit: int, offset: int = 0) -> DataFrame:
+    """Number the first ``limit`` rows, counting on from ``offset``; one page, so one task numbers it."""
     from pyspark.sql import Window
 
     sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     number = F.row_number().over(Window.orderBy(*sort)).cast("long") + offset
-    return result.withColumn("position", number)
+    return take(result, order, limit).withColumn("position", number)
 
 
 def list_rows(messages: DataFrame) -> DataFrame:

@@ -8,12 +8,12 @@ joining a pool of earlier rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailspark.functions.dates import instant
+from mailspark.functions.dates import instant, utc_text
 from mailspark.functions.display import snippet
 
 ACCOUNT = "acc-1"
@@ -141,7 +141,7 @@ def _date_bounds(now: datetime) -> tuple[Column, Column]:
     first, last = instant(F.col("stats.first_date")), instant(F.col("stats.last_date"))
     usable = F.coalesce(first < last, F.lit(False))
     ago = now.replace(year=now.year - 1) if (now.month, now.day) != (2, 29) else now - timedelta(days=365)
-    limit = [F.lit(t.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp") for t in (ago, now)]
+    limit = [F.timestamp_seconds(F.lit(int(t.replace(tzinfo=timezone.utc).timestamp()))) for t in (ago, now)]
     return F.when(usable, first).otherwise(limit[0]), F.when(usable, last).otherwise(limit[1])
 
 
@@ -185,7 +185,7 @@ def synth_messages(
         F.when(mine, drawn("recipient", [person(p) for p in pools.people])).otherwise(me).alias("to"),
         F.replace(drawn("subject", [F.lit(s) for s in pools.subjects]), F.lit("%d"), number).alias("subject"),
         drawn("body", [F.lit(b) for b in pools.bodies]).alias("body"),
-        F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss").alias("date"),
+        utc_text(F.timestamp_seconds(seconds)).alias("date"),
     )
     identity = F.format_string("<gen-%06d@example.com>", src)
     markup = F.concat(F.lit("<html><body><h1>"), "subject", F.lit("</h1><p>"), "body", F.lit("</p></body></html>"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,11 +12,11 @@ from pyspark.sql import SparkSession
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``.
 
-    Only a local session without that setting may use a temporary folder of this machine.
+    Only a session in one process without that setting may use a temporary folder of this machine.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         base = tempfile.mkdtemp(prefix="mailspark-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailspark.functions.dates import utc_month
 from mailspark.operators.index import with_index, with_instant
 from mailspark.schemas import INDEX, MESSAGES, TABLES
 
@@ -27,16 +28,10 @@ def write_indexed(messages: DataFrame, path: str) -> None:
     after that shuffle, which therefore moves the text once and not twice.
     """
     dated = with_instant(messages)
-    dated = dated.withColumn("month", F.coalesce(F.date_format("ts", "yyyy-MM"), F.lit("none")))
+    dated = dated.withColumn("month", F.coalesce(utc_month(F.col("ts")), F.lit("none")))
     ranged = dated.repartitionByRange("month", "ts", "rowid")
     with_index(ranged).sortWithinPartitions("month", "ts").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
 def read_indexed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{MESSAGES}, {INDEX}").parquet(path)
-
-
-def spread(rows: DataFrame, key: str) -> DataFrame:
-    """Rows of an input with fewer partitions than cores, by hash of ``key``; larger inputs stay as they are."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows

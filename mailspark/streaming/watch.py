@@ -69,7 +69,7 @@ def start_watch(
     known: DataFrame | None = None,
     folders: DataFrame | None = None,
     now: datetime | None = None,
-    cap: int = 25,
+    cap: int = 0,
     window: int = 0,
     keep: str | None = None,
     trigger: dict | None = None,
@@ -77,7 +77,7 @@ def start_watch(
 ) -> StreamingQuery:
     """Write one event per new matching message to ``sink`` (Parquet, one folder per batch).
 
-    ``known`` holds ids that must not fire. Of each batch only the newest ``cap`` messages fire
+    ``known`` holds ids that must not fire. With ``cap`` only the newest messages of a batch fire
     (0 = all), oldest first; the others count as seen. ``window`` looks at the newest rows of a batch only, and
     ``on_events`` is called with the events of each batch. A repeated batch overwrites its own folder, so
     no event is stored twice. A changed search needs a new checkpoint and a new baseline.
