@@ -57,22 +57,23 @@ def raked(spark: SparkSession, cells: DataFrame, targets: dict[str, DataFrame],
     """``cells`` with ``w``, their share of the tokens after raking. Stops when every margin is within ``fit`` of its target.
 
     Where no weights can meet all targets (an empty combination is needed), it stops after ``rounds`` with the last margin met.
+    Every step is written, so that the next one is planned from the size of its rows alone and not from the plans of all steps before.
     """
     total = cells.agg(F.sum("n")).first()[0] or 0
-    current = cells.withColumn("w", F.col("n") / F.lit(float(total or 1))).checkpoint()
+    current = cells.withColumn("w", F.col("n") / F.lit(float(total or 1)))
+    for name, target in targets.items():
+        current = current.join(target.select(F.col("value").alias(f"_mix_{name}"), F.col("target").alias(f"_mix_target_{name}")), f"_mix_{name}")
+    current = stored(spark, current.withColumn("off", F.lit(0.0)), "mix-step")
     for _ in range(rounds if total else 0):
-        step, off = current.withColumn("off", F.lit(0.0)), F.col("off")
-        for name, target in targets.items():
-            sums = step.groupBy(F.col(f"_mix_{name}").alias("value")).agg(F.sum("w").alias("sum")).join(target, "value")
-            factor = sums.select(F.col("value").alias(f"_mix_{name}"), F.when(F.col("sum") > 0, F.col("target") / F.col("sum")).otherwise(0.0).alias("factor"))
-            step = step.join(factor, f"_mix_{name}")
-            step = step.withColumns({"w": F.col("w") * F.col("factor"), "off": F.greatest(off, F.when(F.col("w") > 0, F.abs(F.col("factor") - 1)).otherwise(0.0))}).drop("factor")
-        step = step.checkpoint()
-        worst = step.agg(F.max("off")).first()[0]
-        current = step.drop("off")
-        if worst <= fit:
+        for k, name in enumerate(targets):
+            sums = current.groupBy(f"_mix_{name}").agg(F.sum("w").alias("sum"))
+            factor = F.when(F.col("sum") > 0, F.col(f"_mix_target_{name}") / F.col("sum")).otherwise(0.0)
+            miss = F.when(F.col("w") * factor > 0, F.abs(factor - 1)).otherwise(0.0)
+            step = current.join(sums, f"_mix_{name}").withColumns({"w": F.col("w") * factor, "off": miss if k == 0 else F.greatest("off", miss)}).drop("sum")
+            current = stored(spark, step, "mix-step")
+        if current.agg(F.max("off")).first()[0] <= fit:
             break
-    return current
+    return current.select(*cells.columns, "w")
 
 
 def cell_probabilities(spark: SparkSession, docs: DataFrame, targets: dict[str, dict[str, float]], power: dict[str, float]) -> DataFrame:
