@@ -45,7 +45,3 @@ def mail(spark):
         return spark.createDataFrame([tuple(r.get(c) for c in names) for r in full], MAIL)
 
     return build
-
-
-def ids(frame):
-    return [row["id"] for row in frame.collect()]

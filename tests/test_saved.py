@@ -1,6 +1,6 @@
 from datetime import datetime
 
-from conftest import ids
+from helpers import ids
 
 from mailspark.operators import search as S
 from mailspark.operators.terms import before, flag, folder, since, text

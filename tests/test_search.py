@@ -3,7 +3,7 @@ import sqlite3
 from datetime import datetime
 
 import pytest
-from conftest import ids
+from helpers import ids
 
 from mailspark.operators import rank
 from mailspark.operators import search as S

@@ -1,5 +1,5 @@
 import pytest
-from conftest import ids
+from helpers import ids
 
 from mailspark.operators import events
 from mailspark.operators.index import index_table
