@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, language, lm, mixing, secrets, simhash, spotsigs, token_files, toxicity, urls
+from mailspark.llm import decontaminate, hard_negatives, language, lm, mixing, secrets, simhash, spotsigs, token_files, toxicity, urls
 from mailspark.llm.common import read
 
 
@@ -72,9 +73,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(spark, read(spark, sf_dir, "documents"), distance=2, shingle=3, seed=42)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector; the label of every seventh is moved on by one first."""
+    table = read(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(spark, table.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_lm, op3_language, op4_spotsigs, op5_secrets, op6_token_files, op7_urls, op8_mixing, op9_toxicity, op10_simhash,
+        op11_hard_negatives,
     )
 }
