@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.llm.common import stored
-from mailspark.llm.vectors import BLOCK_ROWS, best, cut, finite, grouped, matrix, met, one_row, row_of, top
+from mailspark.llm.vectors import BLOCK_ROWS, best, cut, finite, grouped, matrix, met_by_all, one_row, row_of, top
 
 LONG = (1 << 63) - 1
 #: Sums of at most this many bits are multiplied as 64-bit words, so that 100 times a score still fits; wider ones as Python integers.
@@ -243,13 +243,13 @@ def hard_negatives(
         )
 
     weight = count * (8 * size + 64)
-    first = met(blocks, groups(dealt, columns[0]), weight).mapInArrow(
+    first = met_by_all(blocks, groups(dealt, columns[0]), weight).mapInArrow(
         _positive_task(packing, positives), "anchor_key bigint, anchor_id bigint, positive_id bigint, exact string"
     )
     chosen = best(first, ["anchor_key"], [F.desc("exact"), F.asc("positive_id")], positives)
     chosen = chosen.groupBy("anchor_key").agg(F.collect_list(F.struct("rank", "positive_id", "exact")).alias("wanted"))
     known = stored(spark, dealt.join(chosen, "anchor_key"), "positives")
     schema = "anchor_key bigint, anchor_id bigint, positive_no int, positive_id bigint, negative_id bigint, exact string, positive_score bigint, negative_score bigint"
-    second = met(blocks, groups(known, columns[1]), weight + count * positives * 64).mapInArrow(_negative_task(packing, negatives, low, high), schema)
+    second = met_by_all(blocks, groups(known, columns[1]), weight + count * positives * 64).mapInArrow(_negative_task(packing, negatives, low, high), schema)
     ranked = best(second, ["anchor_key", "positive_no"], [F.desc("exact"), F.asc("negative_id")], negatives)
     return ranked.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

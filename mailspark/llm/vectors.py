@@ -73,15 +73,19 @@ def grouped(queries: DataFrame, count: int, *order: str) -> DataFrame:
     return queries.repartitionByRange(max(1, -(-count // GROUP_ROWS)), *order).withColumn("group_no", F.spark_partition_id())
 
 
-def met(blocks: DataFrame, groups: DataFrame, bytes_of_groups: int) -> DataFrame:
-    """Every block beside every group (rows of ``groups``, a ``group_no`` each)."""
-    last = groups.agg(F.max("group_no")).first()[0]
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(-1 if last is None else last)) if last is not None else F.array().cast("array<int>"))
-    asked = blocks.withColumn("group_no", numbers)
+def met(blocks: DataFrame, groups: DataFrame, keys: list[str], bytes_of_groups: int) -> DataFrame:
+    """Every block beside every group that has the same ``keys``. ``bytes_of_groups`` bounds what a broadcast would send."""
     if bytes_of_groups <= BROADCAST_BYTES:
-        return asked.join(F.broadcast(groups), "group_no")
+        return blocks.join(F.broadcast(groups), keys)
     salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    return asked.withColumn("salt", F.pmod(F.xxhash64("block_no"), F.lit(SPREAD)).cast("int")).join(salted, ["group_no", "salt"]).drop("salt")
+    return blocks.withColumn("salt", F.pmod(F.xxhash64("block_no"), F.lit(SPREAD)).cast("int")).join(salted, [*keys, "salt"]).drop("salt")
+
+
+def met_by_all(blocks: DataFrame, groups: DataFrame, bytes_of_groups: int) -> DataFrame:
+    """Every block beside every group."""
+    last = groups.agg(F.max("group_no")).first()[0]
+    numbers = F.sequence(F.lit(0), F.lit(last)) if last is not None else F.array().cast("array<int>")
+    return met(blocks.withColumn("group_no", F.explode(numbers)), groups, ["group_no"], bytes_of_groups)
 
 
 def best(found: DataFrame, keys: list[str], order: list[Column], count: int, rank: str = "rank") -> DataFrame:
