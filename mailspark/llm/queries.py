@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm import decontaminate, hard_negatives, language, lm, mixing, neighbours, secrets, simhash, spotsigs, token_files, toxicity, urls
+from mailspark.llm import alignment, decontaminate, hard_negatives, language, lm, mixing, neighbours, secrets, simhash, spotsigs, token_files, toxicity, urls
 from mailspark.llm.common import read
 
 
@@ -85,10 +85,15 @@ def op12_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(spark, read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, count=10)
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and groups of the tokens of a byte-level BPE and of a sentencepiece model."""
+    return alignment.alignments(spark, read(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_decontaminate, op2_lm, op3_language, op4_spotsigs, op5_secrets, op6_token_files, op7_urls, op8_mixing, op9_toxicity, op10_simhash,
-        op11_hard_negatives, op12_neighbours,
+        op11_hard_negatives, op12_neighbours, op13_alignment,
     )
 }

@@ -23,15 +23,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import POWERS, SPREAD, mixed, stored, text_blocks
+from mailspark.llm.common import stored, text_blocks
+from mailspark.llm.pieces import Coder, kept
 from mailspark.scratch import scratch_dir
 
 LIMIT = 20
 BLOCK = 256
 CHUNK_IDS = 1 << 18
 END_ID = 2
-#: Pieces whose ids a task remembers; older ones are forgotten beyond that, and encoded again.
-REMEMBERED = 400_000
+#: Pieces that are encoded as lines of one text.
+LINES = 250
 OTHER, LETTER, NUMBER, SPACE = range(4)
 #: Code points with the White_Space property.
 WHITE_SPACE = [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -84,92 +85,89 @@ def piece_starts(points: np.ndarray, row_starts: np.ndarray) -> np.ndarray:
     return starts
 
 
-class PieceCoder:
-    """Ids of pieces; each distinct piece goes to the tokenizer once per task."""
+class PieceCoder(Coder):
+    """Ids of byte-level BPE of the tokenizers library.
 
-    def __init__(self, path: str) -> None:
+    The strings of special tokens in a text become those tokens, as is the library's way, unless ``special_as_text``; such texts are
+    encoded one by one.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.break_id = self.tokenizer.encode("\n", add_special_tokens=False).ids[-1]
-        self.forget()
-
-    def forget(self) -> None:
-        self.number: dict[int, int] = {}
-        self.flat, self.start, self.size = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-
-    def ids_of(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def learn(self, keys: list[int], pieces: list[bytes], alone: bool) -> None:
-        """Remember the ids of pieces. Unless ``alone``, many are encoded as the lines of one text: a line break is a piece of its own between any two that aren't white space."""
-        flat, start, size = [self.flat], [self.start], [self.size]
-        filled = len(self.flat)
-        for first in range(0, len(pieces), 2000):
-            some = pieces[first : first + 2000]
-            ids = np.zeros(0, dtype=np.uint32)
-            cut = ids
-            if not alone:
-                ids = np.array(self.ids_of([b"\n".join(some).decode()])[0], dtype=np.uint32)
-                cut = np.flatnonzero(ids == self.break_id)
-            if alone or len(cut) != len(some) - 1:
-                each = self.ids_of([p.decode() for p in some])
-                sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
-                ids, begin = np.array([k for e in each for k in e], dtype=np.uint32), np.cumsum(sizes) - sizes
-            else:
-                begin = np.concatenate([[0], cut + 1])
-                sizes = np.append(cut, len(ids)) - begin
-            flat.append(ids)
-            start.append(begin + filled)
-            size.append(sizes)
-            filled += len(ids)
-        self.number.update(zip(keys, range(len(self.number), len(self.number) + len(keys))))
-        self.flat, self.start, self.size = np.concatenate(flat), np.concatenate(start), np.concatenate(size)
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.whole_tokens = [t.content.encode() for t in added if not (t.special and special_as_text)]
 
-    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each)."""
-        rows = len(bounds) - 1
-        if not len(data):
-            return np.zeros(0, dtype=np.uint32), np.zeros(rows, dtype=np.int64)
+    def cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where pieces begin, and whether they end in white space."""
         points = np.frombuffer(data.tobytes().decode("utf-8").encode("utf-32-le"), dtype=np.uint32)
         first_byte = np.flatnonzero((data & 0xC0) != 0x80)
         row_points = np.searchsorted(first_byte, bounds)
         row_starts = np.zeros(len(points), dtype=bool)
         row_starts[row_points[:-1][row_points[:-1] < len(points)]] = True
         first_point = np.flatnonzero(piece_starts(points, row_starts))
-        start = first_byte[first_point]
-        end = np.append(start[1:], len(data))
         white = code_point_classes()[points[np.append(first_point[1:], len(points)) - 1]] == SPACE
-        lead = np.zeros(len(data) + 1, dtype=np.uint64)
-        up, down = POWERS.upto(len(data) + 1)
-        np.cumsum(SPREAD[data] * up[: len(data)], dtype=np.uint64, out=lead[1:])
-        hashes = mixed((lead[end] - lead[start]) * down[start] + (end - start).astype(np.uint64))
-        distinct, place, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        if len(self.number) > REMEMBERED:
-            self.forget()
-        missing = np.array([k for k, h in enumerate(keys) if h not in self.number], dtype=np.int64)
-        raw = data.tobytes()
+        return first_byte[first_point], white
+
+    def ids_of_pieces(self, pieces: list[bytes], marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pieces that do not end in white space are encoded as the lines of one text: a line break is a piece of its own between any two."""
+        sizes = np.zeros(len(pieces), dtype=np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for alone in (False, True):
-            some = missing[white[place[missing]] == alone]
-            at = place[some]
-            self.learn(distinct[some].tolist(), [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist())], alone)
-        number = np.fromiter(map(self.number.__getitem__, keys), dtype=np.int64, count=len(keys))[which]
-        each = self.size[number]
-        ahead = np.concatenate([[0], np.cumsum(each)])
-        ids = self.flat[np.repeat(self.start[number] - ahead[:-1], each) + np.arange(ahead[-1])]
-        return ids, np.diff(ahead[np.searchsorted(start, bounds)])
+            some = np.flatnonzero(marks == alone)
+            for first in range(0, len(some), LINES):
+                at = some[first : first + LINES]
+                ids, begin, each = self._encoded([pieces[k] for k in at.tolist()], alone)
+                sizes[at] = each
+                parts.append((at, ids, begin))
+        ahead = np.cumsum(sizes) - sizes
+        out = np.zeros(int(sizes.sum()), dtype=np.uint32)
+        for at, ids, begin in parts:
+            inside = np.arange(int(sizes[at].sum())) - np.repeat(np.cumsum(sizes[at]) - sizes[at], sizes[at])
+            out[np.repeat(ahead[at], sizes[at]) + inside] = ids[np.repeat(begin, sizes[at]) + inside]
+        # byte-level tokens spell every text
+        return out, sizes, np.ones(len(pieces), dtype=bool)
+
+    def _encoded(self, pieces: list[bytes], alone: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, place of each piece's first, number of each piece's)."""
+        if not alone:
+            ids = np.array(self._library([b"\n".join(pieces).decode()])[0], dtype=np.uint32)
+            breaks = np.flatnonzero(ids == self.break_id)
+            if len(breaks) == len(pieces) - 1:
+                begin = np.concatenate([[0], breaks + 1])
+                return ids, begin, np.append(breaks, len(ids)) - begin
+        each = self._library([p.decode() for p in pieces])
+        sizes = np.fromiter(map(len, each), dtype=np.int64, count=len(each))
+        return np.array([k for e in each for k in e], dtype=np.uint32), np.cumsum(sizes) - sizes, sizes
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, number of ids of each)."""
+        ids, sizes, _ = self.encode_whole(data, bounds)
+        raw = data.tobytes()
+        if not any(token in raw for token in self.whole_tokens):
+            return ids, sizes
+        each = np.split(ids, np.cumsum(sizes)[:-1])
+        for k, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+            if any(token in raw[a:b] for token in self.whole_tokens):
+                each[k] = np.array(self._library([raw[a:b].decode()])[0], dtype=np.uint32)
+        return np.concatenate(each), np.array([len(e) for e in each], dtype=np.int64)
 
 
 def tokenize_task(path: str, end_id: int) -> Callable:
     """(doc_id, text_key, n_tokens, packed) of rows (doc_id, text_key, text)."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, press = PieceCoder(path), zstandard.ZstdCompressor(level=1)
+        coder, press = kept(PieceCoder, path), zstandard.ZstdCompressor(level=1)
         width = np.uint16 if max(end_id, coder.tokenizer.get_vocab_size()) < 1 << 16 else np.uint32
         for batch in batches:
             for first, rows, data, bounds in text_blocks(batch.column(2)):

@@ -15,16 +15,19 @@ from mailspark.llm.queries import tokenizer_path
 def tokenizer():
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(tokenizer_path())
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(tokenizer_path())
 
 
-def test_pieces_like_the_library(tokenizer):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_pieces_like_the_library(special_as_text):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    tokenizer.encode_special_tokens = special_as_text
     pick = random.Random(1)
     parts = [*"  ''sstreavmld\n\t.!ab1éßñ日　٣ ½🎉​́", "\r\n", "'re", "don't", "I'll ", "  ", "<|endoftext|>", "'S"]
     texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 40))) for _ in range(1_500)]
-    coder = T.PieceCoder(tokenizer_path())
+    coder = T.PieceCoder(tokenizer_path(), special_as_text)
     for first, rows, data, bounds in text_blocks(pa.array(texts)):
         ids, sizes = coder.encode(data, bounds)
         for text, got in zip(texts[first : first + rows], np.split(ids, np.cumsum(sizes)[:-1])):
