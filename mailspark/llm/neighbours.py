@@ -29,6 +29,7 @@ SAMPLE = 20_000
 #: Sample rows that serve as queries when the radius is set, and the share of their neighbours it has to reach.
 TRIALS, RECALL = 400, 0.98
 ROUNDS = 40
+LARGEST = 1e100
 #: Rows of a shard, on average, when shards are as many as they may be.
 SHARD_ROWS = 1 << 14
 
@@ -49,7 +50,8 @@ class Codes:
         return self.rotation.shape[1]
 
     def of(self, vectors: np.ndarray) -> np.ndarray:
-        signs = ((vectors - self.mean) @ self.rotation > 0).astype(np.uint64)
+        with np.errstate(all="ignore"):
+            signs = ((vectors - self.mean) @ self.rotation > 0).astype(np.uint64)
         return (signs << np.arange(self.bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
 
     def part(self, codes: np.ndarray, k: int) -> np.ndarray:
@@ -80,6 +82,8 @@ def rotation(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fitted(vectors: np.ndarray, rows: int, count: int) -> Codes:
     """Codes for ``rows`` rows, from the sample ``vectors``; ``count`` neighbours are wanted."""
     size = vectors.shape[1]
+    # squares of larger components would overflow; such rows are indexed, but nothing is learnt from them
+    vectors = vectors[(np.abs(vectors) < LARGEST).all(1)]
     mean, turn = rotation(vectors)
     bits = turn.shape[1]
     codes = Codes(size, mean, turn, bits, [], 0)
@@ -146,8 +150,9 @@ def probed(directory: np.ndarray, value: int, reach: int, bits: int, masks: np.n
 def distance(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, squares added from the first component to the last."""
     total = np.zeros(len(rows))
-    for k in range(rows.shape[1]):
-        total += (rows[:, k] - query[k]) ** 2
+    with np.errstate(over="ignore"):
+        for k in range(rows.shape[1]):
+            total += (rows[:, k] - query[k]) ** 2
     return np.sqrt(total)
 
 
@@ -178,7 +183,8 @@ def _search_task(codes: Codes, count: int) -> Callable:
                 continue
             if len(at) > count:
                 # rough squares first; rounding moves them by far less than the allowance
-                rough = np.einsum("ij,ij->i", gap := vectors[at] - queries[q], gap)
+                gap = vectors[at] - queries[q]
+                rough = np.einsum("ij,ij->i", gap, gap)
                 at = at[rough <= np.partition(rough, count - 1)[count - 1] * (1 + 1e-9)]
             score = distance(vectors[at], queries[q])
             some = top(-score, ids[at], count)
