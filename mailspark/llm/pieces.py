@@ -1,7 +1,7 @@
 """Token ids of many texts at once: texts are cut where a tokenizer never joins, and each distinct piece is encoded once.
 
-A Python worker keeps its coders, so what one task has learnt serves the next ones. Pieces are found by a 64-bit hash of their bytes in
-a table of numpy arrays; when it holds as many pieces as it may, it is emptied and filled anew.
+A Python worker keeps its coders, so what one task of a job has learnt serves the job's next tasks in that worker. Pieces are found by a 64-bit
+hash of their bytes in a table of numpy arrays; when it holds as many pieces as it may, it is emptied and filled anew.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ import functools
 
 import numpy as np
 
-from mailspark.llm.common import POWERS, SPREAD, mixed
+from mailspark.llm.common import BLOCK_BYTES, POWERS, SPREAD, mixed
 
 #: Pieces, and ids of pieces, that a worker remembers at most.
 REMEMBERED, REMEMBERED_IDS = 1 << 21, 1 << 24
@@ -81,7 +81,7 @@ class Coder:
     """Texts to ids by distinct pieces. Subclasses say where pieces begin (``cut``) and what their ids are (``ids_of_pieces``)."""
 
     def __init__(self) -> None:
-        self.memory = Memory(REMEMBERED)
+        self.memory, self.job, self.temporary = Memory(REMEMBERED), None, False
 
     def cut(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """(first byte of every piece, a mark of each piece that ``ids_of_pieces`` wants or None)."""
@@ -92,7 +92,17 @@ class Coder:
         raise NotImplementedError
 
     def encode_whole(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts in a row, number of ids of each, whether each one's tokens spell its bytes)."""
+        """(ids of all texts in a row, number of ids of each, whether each one's tokens spell its bytes); about BLOCK_BYTES are worked on at a time."""
+        parts, first = [], 0
+        while first < len(bounds) - 1:
+            last = max(first + 1, int(np.searchsorted(bounds, bounds[first] + BLOCK_BYTES, side="right")) - 1)
+            parts.append(self._encode_block(data[bounds[first] : bounds[last]], bounds[first : last + 1] - bounds[first]))
+            first = last
+        if not parts:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        return parts[0] if len(parts) == 1 else tuple(map(np.concatenate, zip(*parts)))
+
+    def _encode_block(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         rows = len(bounds) - 1
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(rows, dtype=np.int64), np.ones(rows, dtype=bool)
@@ -112,8 +122,6 @@ class Coder:
             self.temporary = False
         return ids, np.diff(ahead[edges]), np.diff(broken[edges]) == 0
 
-    temporary = False
-
     def _learnt(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, number: np.ndarray, marks: np.ndarray | None) -> np.ndarray:
         """Numbers of all pieces, after the unknown ones have been encoded."""
         unknown = np.flatnonzero(number < 0)
@@ -167,6 +175,13 @@ class SentenceCoder(Coder):
 
 
 @functools.lru_cache(maxsize=4)
-def kept(kind: type, *options: object) -> Coder:
-    """The worker's coder of a kind; it lives as long as the worker."""
+def _coder(kind: type, *options: object) -> Coder:
     return kind(*options)
+
+
+def kept(job: str, kind: type, *options: object) -> Coder:
+    """The worker's coder of a kind. It is loaded once, but remembers pieces only for one job, whose name the driver has made."""
+    coder = _coder(kind, *options)
+    if coder.job != job:
+        coder.memory, coder.job = Memory(REMEMBERED), job
+    return coder

@@ -13,6 +13,7 @@ data on the driver are the id counts and code lengths, as many as the vocabulary
 from __future__ import annotations
 
 import functools
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -166,8 +167,10 @@ class PieceCoder(Coder):
 def tokenize_task(path: str, end_id: int) -> Callable:
     """(doc_id, text_key, n_tokens, packed) of rows (doc_id, text_key, text)."""
 
+    job = uuid.uuid4().hex
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, press = kept(PieceCoder, path), zstandard.ZstdCompressor(level=1)
+        coder, press = kept(job, PieceCoder, path), zstandard.ZstdCompressor(level=1)
         width = np.uint16 if max(end_id, coder.tokenizer.get_vocab_size()) < 1 << 16 else np.uint32
         for batch in batches:
             for first, rows, data, bounds in text_blocks(batch.column(2)):
