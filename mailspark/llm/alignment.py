@@ -12,6 +12,7 @@ are summed by pair, and every batch gets back the counts of its own pairs. No ta
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from mailspark.llm.pieces import Coder, SentenceCoder, kept
 from mailspark.llm.token_files import PieceCoder
 
 #: Text bytes that are merged at once; a longer text is a batch of its own.
-LOCKSTEP_BYTES = 8 << 20
+LOCKSTEP_BYTES = 4 << 20
 #: Decimal ids and a separator are written into eight bytes.
 MOST_IDS = 10**7
 
@@ -49,7 +50,7 @@ def lockstep(end_a: np.ndarray, end_b: np.ndarray, first_a: np.ndarray, first_b:
     Ends of the texts' tokens stand one text after the other; a text's A tokens are ``first_a`` up to ``stop_a``, its B tokens begin at ``first_b``, and
     the last ones of both end together.
     """
-    partner = np.full(len(end_a), -1, dtype=np.int64)
+    partner = np.full(len(end_a), -1, dtype=np.int32 if len(end_b) < 1 << 31 else np.int64)
     alive = first_a < stop_a
     a, b, stop = first_a[alive], first_b[alive], stop_a[alive]
     while len(a):
@@ -88,7 +89,8 @@ class Batch:
         self.a, self.b = (x[np.repeat(good, n)] for x, n in zip(ids, counts))
         self.edge_a, self.edge_b = (np.concatenate([[0], np.cumsum(np.where(good, n, 0))]) for n in counts)
         # bytes of left-out texts are left out too, so both lists end alike
-        ends = [np.cumsum(s[x]) for s, x in zip(sizes, (self.a, self.b))]
+        width = np.int32 if len(data) < 1 << 31 else np.int64
+        ends = [np.cumsum(s[x], dtype=width) for s, x in zip(sizes, (self.a, self.b))]
         partner = lockstep(*ends, self.edge_a[:-1], self.edge_b[:-1], self.edge_a[1:])
         at = np.flatnonzero(partner >= 0)
         self.links = at, partner[at]
@@ -141,13 +143,12 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _coders(path_a: str, path_b: str) -> tuple[tuple[Coder, Coder], tuple[np.ndarray, np.ndarray]]:
-    coders = kept(PieceCoder, path_a, True), kept(SentenceCoder, path_b)
+def _coders(job: str, path_a: str, path_b: str) -> tuple[tuple[Coder, Coder], tuple[np.ndarray, np.ndarray]]:
+    coders = kept(job, PieceCoder, path_a, True), kept(job, SentenceCoder, path_b)
     return coders, tuple(map(token_sizes, coders))
 
 
-def _aligned(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str) -> Iterator[tuple[pa.Array, Batch]]:
-    coders, sizes = _coders(path_a, path_b)
+def _aligned(batches: Iterator[pa.RecordBatch], coders: tuple[Coder, Coder], sizes: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[pa.Array, Batch]]:
     for table in gathered(batches, LOCKSTEP_BYTES):
         for some in table.to_batches():
             for first, rows, data, bounds in blocks_of(some.column(1), LOCKSTEP_BYTES):
@@ -163,10 +164,13 @@ BATCHES = (
 def _batch_task(path_a: str, path_b: str) -> Callable:
     """One row for each batch of texts: what is known of them, the distinct pairs of linked ids (A id * 2^32 + B id), and each link's place in that list."""
 
+    job = uuid.uuid4().hex
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, press = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1)
-        words = decimal_words(max(map(len, _coders(path_a, path_b)[1])))
-        for k, (doc_ids, batch) in enumerate(_aligned(batches, path_a, path_b)):
+        coders, sizes = _coders(job, path_a, path_b)
+        words = decimal_words(max(map(len, sizes)))
+        for k, (doc_ids, batch) in enumerate(_aligned(batches, coders, sizes)):
             linked = (batch.a[batch.links[0]].astype(np.int64) << 32) | batch.b[batch.links[1]]
             pairs, number, links = np.unique(linked, return_inverse=True, return_counts=True)
             written = [hashlib.sha256(g).hexdigest() if g else "" for g in batch.groups(words)]
@@ -238,8 +242,10 @@ def alignments(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str) -
 def links(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """doc_id, a_index, b_index, a_id, b_id, end: every link of every text, with the tokens' numbers in their text and the byte (of blank and text) where they end."""
 
+    job = uuid.uuid4().hex
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc_ids, batch in _aligned(batches, path_a, path_b):
+        for doc_ids, batch in _aligned(batches, *_coders(job, path_a, path_b)):
             at_a, at_b = batch.links
             text = np.repeat(np.arange(len(doc_ids)), np.diff(batch.edge_links))
             last = np.concatenate([[0], batch.ends])[batch.edge_links[:-1]]
