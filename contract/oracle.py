@@ -249,6 +249,28 @@ SQL["search_ranked_column"] = (
 SQL["search_scores"] = (
     scored([(" the ", TEXT_COLUMNS), (" of  the ", ("body_text",))], "true") + " SELECT id, round(score, 6) AS score FROM r"
 )
+SQL["scan_text_any_column"], SQL["scan_text_minus_text"] = SQL["text_any_column"], SQL["text_minus_text"]
+SQL["scan_scores"], SQL["kept_totals"] = SQL["search_scores"], SQL["corpus_stats"]
+SQL["search_skipping"] = (
+    scored([(" the ", TEXT_COLUMNS)], "true")
+    + " SELECT row_number() OVER (ORDER BY score, id) AS position, id, coalesce(subject, '') AS subject, round(score, 6) AS score"
+    " FROM r ORDER BY r.score, id LIMIT 10"
+)
+SQL["token_frequencies"] = (
+    f"{WITH}, w AS (SELECT rowid, unnest(list_distinct(list_filter(string_split("
+    + " || ' ' || ".join(f"p_{c}" for c in TEXT_COLUMNS)
+    + ", ' '), lambda x: x <> ''))) AS token FROM tok) SELECT token, count(*) AS holding FROM w GROUP BY token"
+)
+AFTER = (
+    f"{CHANGED}, p AS (SELECT rowid, "
+    + ", ".join(f"{pad(TO_TEXT if c == 'to_text' else c)} AS p_{c}" for c in TEXT_COLUMNS)
+    + " FROM now_rows), cc AS (SELECT *, "
+    + " + ".join(count_tokens(f"p_{c}") for c in TEXT_COLUMNS)
+    + f" AS doc_len, {occurrences(' the ')} AS f0 FROM p), s AS (SELECT count(*)::DOUBLE AS n, avg(doc_len) AS mean, count(*) FILTER (f0 > 0) AS n0 FROM cc)"
+)
+SQL["postings_after_changes"] = SQL["postings_compacted"] = f"""{AFTER} SELECT rowid, round(round(
+  -(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) > 0 THEN ln((n - n0 + 0.5) / (n0 + 0.5)) ELSE 1e-6 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * doc_len / mean)), 10), 6) AS score
+  FROM cc, s WHERE f0 > 0 AND NOT contains(p_subject, ' que ')"""
 
 
 # --- profile and counters -----------------------------------------------------------------------------

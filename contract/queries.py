@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contract import view as V
 from mailspark.functions import bodies, dates, display
-from mailspark.operators import counters, events, index, profile, rank
+from mailspark.operators import counters, events, index, postings, profile, rank
 from mailspark.operators import search as S
 from mailspark.operators.terms import before, flag, folder, since, text
 from mailspark.plans import saved, synth
@@ -36,6 +36,15 @@ def found(*terms, **options) -> Query:
     return build
 
 
+def looked_up(*terms) -> Query:
+    """The same rows out of the stored index."""
+    def build(spark: SparkSession, sf: str) -> DataFrame:
+        mail = V.messages(spark, sf)
+        return S.list_rows(S.filtered_stored(V.stored_index(spark, sf), mail, terms, V.folders(spark), V.NOW))
+
+    return build
+
+
 def viewed(*terms, **options) -> Query:
     """All list rows of the mailbox view."""
     def build(spark: SparkSession, sf: str) -> DataFrame:
@@ -47,16 +56,18 @@ def viewed(*terms, **options) -> Query:
 
 REGISTRY |= {
     "list_rows": found(),
-    "text_any_column": found(text("the")),
-    "text_subject": found(text("the", field="subject")),
-    "text_sender": found(text("src1", field="sender")),
-    "text_recipient": found(text("u7@example.com", field="to")),
-    "text_body": found(text("of", field="body")),
-    "text_phrase": found(text("of the", phrase=True)),
-    "text_prefix": found(text("th*", field="snippet")),
-    "text_and_flag": found(text("the"), text("que"), flag("flagged", False)),
-    "text_minus_text": found(text("the"), ~text("of the"), ~text("src3", field="from")),
-    "text_only_negated": found(~text("the"), ~text("que")),
+    "text_any_column": looked_up(text("the")),
+    "text_subject": looked_up(text("the", field="subject")),
+    "text_sender": looked_up(text("src1", field="sender")),
+    "text_recipient": looked_up(text("u7@example.com", field="to")),
+    "text_body": looked_up(text("of", field="body")),
+    "text_phrase": looked_up(text("of the", phrase=True)),
+    "text_prefix": looked_up(text("th*", field="snippet")),
+    "text_and_flag": looked_up(text("the"), text("que"), flag("flagged", False)),
+    "text_minus_text": looked_up(text("the"), ~text("of the"), ~text("src3", field="from")),
+    "text_only_negated": looked_up(~text("the"), ~text("que")),
+    "scan_text_any_column": found(text("the")),
+    "scan_text_minus_text": found(text("the"), ~text("of the"), ~text("src3", field="from")),
     "flag_unread": found(flag("unread")),
     "flag_flagged_attach": found(flag("starred"), ~flag("attachment", False)),
     "date_range": found(since("2024-01-05"), before("2024-01-07 12:30")),
@@ -191,7 +202,7 @@ def corpus_stats(spark, sf):
 
 
 def _ranked(spark, sf, terms, **options):
-    page = S.search(V.messages(spark, sf), terms, now=V.NOW, **options)
+    page = S.search_stored(V.stored_index(spark, sf), V.messages(spark, sf), terms, now=V.NOW, **options)
     numbered = S.with_position(page, S.BEST, options["limit"], options.get("offset", 0))
     return numbered.select("position", "id", "subject", F.round("score", 6).alias("score"))
 
@@ -209,12 +220,66 @@ def search_ranked_column(spark, sf):
 @query
 def search_scores(spark, sf):
     """Scores of every hit, no limit."""
+    hits = postings.ranked_rows(V.stored_index(spark, sf), [text("the"), text("of the", field="body")])
+    return hits.select(F.format_string("msg-%06d", "rowid").alias("id"), F.round("score", 6).alias("score"))
+
+
+@query
+def scan_scores(spark, sf):
+    """The same scores without a stored index."""
     mail = index.with_index(V.messages(spark, sf, flags=False))
     terms = [text("the"), text("of the", field="body")]
     hits = S.filtered(mail, terms)
     return hits.select("id", F.round(rank.bm25(hits, terms, rank.corpus_stats(mail, terms)), 6).alias("score"))
 
 
+@query
+def kept_totals(spark, sf):
+    """Corpus totals and document frequencies that the index keeps."""
+    stored = V.stored_index(spark, sf)
+    counts = [postings.holding(stored, t).scalar().alias(f"hits_{i}") for i, t in enumerate((text("the"), text("of the"), text("th*", field="subject")))]
+    return postings.corpus_totals(stored).select("messages", F.round("mean_len", 6).alias("mean_len"), *counts)
+
+
+@query
+def token_frequencies(spark, sf):
+    """Messages holding each token, as kept."""
+    kept = V.stored_index(spark, sf).tokens
+    return kept.groupBy("token").agg(F.sum("holding").alias("holding"))
+
+
+def _changed_index(spark, sf):
+    """The index after the changes have come in two batches, later ones first for some rows."""
+    path = scratch_dir(spark, "postings")
+    postings.write_postings(V.messages(spark, sf, flags=False), path)
+    changed = V.changes(spark, sf)
+    for some in (changed.filter("seq % 4 <> 1"), changed.filter("seq % 4 <= 1")):
+        postings.add_changes(spark, path, some)
+    return path
+
+
+def _scores(stored):
+    found = postings.ranked_rows(stored, [text("the"), ~text("que", field="subject")])
+    return found.select("rowid", F.round("score", 6).alias("score"))
+
+
+@query
+def postings_after_changes(spark, sf):
+    return _scores(postings.read_postings(spark, _changed_index(spark, sf)))
+
+
+@query
+def postings_compacted(spark, sf):
+    path = _changed_index(spark, sf)
+    postings.compact(spark, path)
+    return _scores(postings.read_postings(spark, path))
+
+
+@query
+def search_skipping(spark, sf):
+    """The best few of very many hits; blocks that cannot hold one of them are skipped."""
+    return _ranked(spark, sf, [text("the")], limit=10)
+
 @query
 def search_limit(spark, sf):
     return S.search(V.messages(spark, sf), limit=25)

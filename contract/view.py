@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailspark.functions.display import snippet
+from mailspark.operators.postings import Postings, read_postings, write_postings
 from mailspark.scratch import scratch_dir
 
 NOW = datetime(2024, 1, 20)
@@ -97,6 +98,20 @@ def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool =
     return d.select(*[c.alias(k) for k, c in columns.items() if c is not None])
 
 
+#: Indexes written by this process, by session and input folder: a mailbox is indexed once and then searched many times.
+WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, sf_dir: str) -> Postings:
+    """The text index of the mailbox; the first search of a session writes it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in WRITTEN:
+        path = scratch_dir(spark, "postings")
+        write_postings(messages(spark, sf_dir, flags=False), path)
+        WRITTEN[key] = path
+    return read_postings(spark, WRITTEN[key])
+
+
 def last_words(text: str = "text") -> tuple:
     """The pair of neighbouring words of the whole text that sorts last."""
     pair = r"(\p{L}+)[^\p{L}]+(\p{L}+)"

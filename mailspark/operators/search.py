@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from mailspark.operators.index import with_index, with_instant, with_pads
 from mailspark.operators.joins import SALTS, salt_of, salted_join
+from mailspark.operators.postings import Postings, ranked_rows, term_hits
 from mailspark.operators.rank import bm25, corpus_stats, matches
 from mailspark.operators.terms import Flag, Folder, Term, Text, When
 from mailspark.schemas import DETAIL_COLUMNS, LIST_COLUMNS, result_column
@@ -204,6 +205,46 @@ def _ordered_rows(
     return take(rows, (("_date", False), ("_id", False)), limit, offset).drop("_date", "_id")
 
 
+def filtered_stored(
+    index: Postings, messages: DataFrame, terms: Iterable[Term], folders: DataFrame | None = None, now: datetime | None = None, limit: int = 0
+) -> DataFrame:
+    """Messages for which every term holds, text terms looked up in the stored index, with their ``score`` if there is a positive one.
+
+    With a ``limit``, messages that cannot be among the best ``limit`` ones may be left out. Text columns of ``messages`` are not read.
+    """
+    terms = list(terms)
+    texts = [t for t in terms if isinstance(t, Text)]
+    others = [t for t in terms if not isinstance(t, Text)]
+    rows = filtered(messages, others, folders, now)
+    if _ranked(terms):
+        return rows.join(ranked_rows(index, texts, limit, rows if others else None), "rowid")
+    for term in texts:
+        if term.wanted:
+            rows = rows.join(term_hits(index, term).select("rowid"), "rowid", "left_anti")
+    return rows
+
+
+def search_stored(
+    index: Postings,
+    messages: DataFrame,
+    terms: Iterable[Term] = (),
+    *,
+    folders: DataFrame | None = None,
+    now: datetime | None = None,
+    limit: int = 0,
+    offset: int = 0,
+    columns: Iterable[str] = LIST_COLUMNS,
+) -> DataFrame:
+    """The rows of ``search``, from the stored index: a search reads the postings of its own tokens, and of a limited one only promising blocks."""
+    terms = list(terms)
+    found = filtered_stored(index, messages, terms, folders, now, limit + offset if limit else 0)
+    rows = [result_column(c) for c in columns]
+    if _ranked(terms):
+        return take(found.select(*rows, "score"), BEST, limit, offset)
+    hidden = [F.col("date").alias("_date"), F.col("id").alias("_id")]
+    return take(found.select(*rows, *hidden), (("_date", False), ("_id", False)), limit, offset).drop("_date", "_id")
+
+
 def take(rows: DataFrame, order: tuple, limit: int, offset: int = 0) -> DataFrame:
     """Ordered rows after ``offset``, at most ``limit`` of them (0 = all)."""
     sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
