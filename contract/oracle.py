@@ -268,7 +268,7 @@ AFTER = (
     + " + ".join(count_tokens(f"p_{c}") for c in TEXT_COLUMNS)
     + f" AS doc_len, {occurrences(' the ')} AS f0 FROM p), s AS (SELECT count(*)::DOUBLE AS n, avg(doc_len) AS mean, count(*) FILTER (f0 > 0) AS n0 FROM cc)"
 )
-SQL["postings_after_changes"] = SQL["postings_compacted"] = f"""{AFTER} SELECT rowid, round(round(
+SQL["postings_after_changes"] = SQL["postings_compacted"] = SQL["postings_stream"] = f"""{AFTER} SELECT rowid, round(round(
   -(CASE WHEN ln((n - n0 + 0.5) / (n0 + 0.5)) > 0 THEN ln((n - n0 + 0.5) / (n0 + 0.5)) ELSE 1e-6 END) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * doc_len / mean)), 10), 6) AS score
   FROM cc, s WHERE f0 > 0 AND NOT contains(p_subject, ' que ')"""
 
@@ -332,7 +332,7 @@ SQL["folder_unread_after_changes"] = f"""{WITH}, u AS ({UNREAD}), {STEPS},
   ends AS (SELECT folder_id, sum(step) AS total, min(s) AS lowest FROM run GROUP BY folder_id)
   SELECT u.folder_id, coalesce(total + greatest(unread_count % 3, -lowest), unread_count % 3)::BIGINT AS unread_count
   FROM u LEFT JOIN ends USING (folder_id)"""
-SQL["folder_unread_stream"] = f"{WITH}, {STEPS} SELECT folder_id, sum(step)::BIGINT AS change FROM st WHERE step IS NOT NULL GROUP BY 1"
+SQL["folder_unread_stream"] = SQL["folder_unread_after_changes"]
 
 
 # --- text ---------------------------------------------------------------------------------------------

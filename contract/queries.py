@@ -275,6 +275,18 @@ def postings_compacted(spark, sf):
     return _scores(postings.read_postings(spark, path))
 
 
+@query
+def postings_stream(spark, sf):
+    """The index after the changes have come in as a stream."""
+    base = scratch_dir(spark, "follow")
+    postings.write_postings(V.messages(spark, sf, flags=False), f"{base}/index")
+    changed = V.changes(spark, sf)
+    changed.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(changed.schema).parquet(f"{base}/in")
+    upkeep.follow_postings(stream, f"{base}/index", f"{base}/state").awaitTermination()
+    return _scores(postings.read_postings(spark, f"{base}/index"))
+
+
 @query
 def search_skipping(spark, sf):
     """The best few of very many hits; blocks that cannot hold one of them are skipped."""
@@ -373,12 +385,17 @@ def folder_unread_after_changes(spark, sf):
 
 @query
 def folder_unread_stream(spark, sf):
-    """Running unread sums per folder from a stream of changes."""
+    """Unread counters kept by a stream of changes in several batches, from a start and with a floor of zero."""
     base = scratch_dir(spark, "unread")
-    changed = V.read_changes(spark, sf)
-    changed.write.parquet(f"{base}/in")
-    stream = spark.readStream.schema(changed.schema).parquet(f"{base}/in")
-    upkeep.follow_unread(stream, V.folders(spark), f"{base}/out", f"{base}/state").awaitTermination()
+    changed, start = V.read_changes(spark, sf), counters.folder_unread(V.messages(spark, sf), V.folders(spark))
+    start.withColumn("unread_count", F.col("unread_count") % 3).write.parquet(f"{base}/start")
+    for part in range(3):  # files are read in the order they were written in
+        bounds = changed.agg((F.max("seq") * part / 3).alias("low"), (F.max("seq") * (part + 1) / 3).alias("high")).select(F.struct("*")).scalar()
+        some = changed.filter((F.col("seq") > bounds["low"]) | F.lit(part == 0)).filter(F.col("seq") <= bounds["high"])
+        some.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(changed.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    started = spark.read.parquet(f"{base}/start")
+    upkeep.follow_unread(stream, V.folders(spark), started, f"{base}/out", f"{base}/state").awaitTermination()
     return upkeep.latest_unread(spark, f"{base}/out")
 
 

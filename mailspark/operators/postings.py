@@ -8,10 +8,10 @@ column differ by one, so a phrase is an intersection of shifted places and never
 Tables under the index path, each in folders by generation (``gen``):
 
 * ``postings`` (lead, token, block, docs, most, shortest): posting blocks
-* ``forward`` (rowid, seq, live, doc_len, tokens): by row id; what a later change has to take back
+* ``forward`` (rowid, seq, live, doc_len, entries): by row id, what the postings are made from and a later change has to take back
 * ``gone`` (rowid): rows of earlier generations that this one replaces or deletes
 * ``tokens`` (lead, token, holding) and ``totals`` (messages, length): differences that add up to document frequencies and corpus totals
-* ``commits`` (gen, base): written last; a reader sees the generations from ``base`` to the last one committed
+* ``commits`` (gen, base, change_set): written last; a reader sees the generations from ``base`` to the last one committed
 
 Changes only add a generation; ``compact`` writes all of them as a new base.
 """
@@ -49,28 +49,32 @@ def lead_of(token: Column) -> Column:
     return F.when(first.rlike("^[a-z0-9]$"), first).otherwise(F.lit("~"))
 
 
-def _occurrences(texts: DataFrame) -> DataFrame:
-    """(rowid, seq, doc_len, token, places): one row for each distinct token of each row; ``texts`` has rowid, seq and the text columns."""
-    indexed = with_index(texts)
-    placed = [_placed(c, k) for k, c in enumerate(TEXT_COLUMNS)]
-    each = indexed.select("rowid", "seq", "doc_len", F.explode(F.concat(*placed)).alias("o"))
-    return each.groupBy("rowid", "seq", "doc_len", F.col("o.token").alias("token")).agg(F.array_sort(F.collect_list("o.place")).alias("places"))
-
-
 def _placed(column: str, number: int) -> Column:
-    return F.transform(token_array(F.col(f"pad_{column}")), lambda t, i: F.struct(t.alias("token"), (i + F.lit(number * COLUMN_STEP)).alias("place")))
+    place = lambda i: i + F.lit(number * COLUMN_STEP)
+    return F.transform(token_array(F.col(f"pad_{column}")), lambda t, i: F.struct(t.alias("token"), place(i).alias("place"), F.lit(1 << number).alias("bit")))
+
 
+def _entries(texts: DataFrame) -> DataFrame:
+    """(rowid, seq, live, doc_len, entries): what each distinct token does in each row; ``texts`` has rowid, seq, live and the text columns.
 
-def _bits(places: Column) -> Column:
-    """The columns that places lie in, as bits."""
-    columns = F.array_distinct(F.transform(places, lambda p: F.floor(p / COLUMN_STEP).cast("int")))
-    return F.aggregate(columns, F.lit(0), lambda a, k: a.bitwiseOR(F.pow(F.lit(2), k).cast("int")))
+    Rows are dealt by row id first. That spreads the work of a few large files, and grouping by row and token then needs no other shuffle.
+    """
+    dealt = texts.repartition("rowid")
+    indexed = with_index(dealt).withColumn("doc_len", F.when(F.col("live"), F.col("doc_len")).otherwise(F.lit(0).cast("long")))
+    placed = F.concat(*[_placed(c, k) for k, c in enumerate(TEXT_COLUMNS)])
+    each = indexed.select("rowid", "seq", "live", "doc_len", F.explode_outer(F.when(F.col("live"), placed)).alias("o"))
+    tokens = each.groupBy("rowid", "seq", "live", "doc_len", F.col("o.token").alias("token")).agg(
+        F.count("o.place").cast("int").alias("n"), F.bit_or("o.bit").alias("bits"), F.array_sort(F.collect_list("o.place")).alias("places")
+    )
+    entry = F.when(F.col("token").isNotNull(), F.struct("token", "n", "bits", "places"))
+    return tokens.groupBy("rowid", "seq", "live", "doc_len").agg(F.collect_list(entry).alias("entries"))
 
 
-def _posting_blocks(occurrences: DataFrame) -> DataFrame:
-    one = F.struct("rowid", F.size("places").alias("n"), _bits(F.col("places")).alias("bits"), F.col("doc_len").alias("len"), "places")
+def _posting_blocks(forward: DataFrame) -> DataFrame:
     block = F.floor(F.col("rowid") / BLOCK_ROWS).alias("block")
-    blocks = occurrences.select("token", block, one.alias("doc")).groupBy("token", "block").agg(
+    each = forward.select("rowid", "doc_len", block, F.explode("entries").alias("e"))
+    one = F.struct("rowid", F.col("e.n").alias("n"), F.col("e.bits").alias("bits"), F.col("doc_len").alias("len"), F.col("e.places").alias("places"))
+    blocks = each.select(F.col("e.token").alias("token"), "block", one.alias("doc")).groupBy("token", "block").agg(
         F.array_sort(F.collect_list("doc")).alias("docs"), F.max("doc.n").alias("most"), F.min("doc.len").alias("shortest")
     )
     return blocks.select("token", "block", "docs", "most", "shortest", lead_of(F.col("token")).alias("lead"))
@@ -81,20 +85,17 @@ def _write(frame: DataFrame, path: str, table: str, gen: int, *by: str) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(f"{path}/{table}/gen={gen}")
 
 
-def _write_generation(rows: DataFrame, path: str, gen: int) -> None:
-    """Postings and forward rows of ``rows`` (rowid, seq, live, text columns); rows that are not live have no postings."""
-    found = _occurrences(rows.filter("live"))
-    per_row = found.groupBy("rowid", "seq", "doc_len").agg(F.array_sort(F.collect_list("token")).alias("tokens"))
-    empty = F.array().cast("array<string>")
-    without = rows.select("rowid", "seq", "live").join(per_row, ["rowid", "seq"], "left")
-    forward = without.select("rowid", "seq", "live", F.coalesce("doc_len", F.lit(0).cast("long")).alias("doc_len"), F.coalesce("tokens", empty).alias("tokens"))
-    _write(forward.repartitionByRange("rowid").sortWithinPartitions("rowid"), path, "forward", gen)
-    ordered = _posting_blocks(found).repartitionByRange("lead", "token", "block").sortWithinPartitions("lead", "token", "block")
+def _write_generation(rows: DataFrame, path: str, gen: int) -> DataFrame:
+    """Forward rows of ``rows`` (rowid, seq, live, text columns) and from them the postings; rows that are not live have none. Returns the forward rows as stored."""
+    _write(_entries(rows).repartitionByRange("rowid").sortWithinPartitions("rowid"), path, "forward", gen)
+    written = rows.sparkSession.read.schema(SCHEMAS["forward"].removesuffix(", gen bigint")).parquet(f"{path}/forward/gen={gen}")
+    ordered = _posting_blocks(written).repartitionByRange("lead", "token", "block").sortWithinPartitions("lead", "token", "block")
     _write(ordered, path, "postings", gen, "lead")
+    return written
 
 
 def _token_counts(forward: DataFrame, sign: int) -> DataFrame:
-    return forward.select(F.explode("tokens").alias("token")).groupBy("token").agg((F.count(F.lit(1)) * sign).alias("holding"))
+    return forward.select(F.explode("entries.token").alias("token")).groupBy("token").agg((F.count(F.lit(1)) * sign).alias("holding"))
 
 
 def _length_totals(forward: DataFrame, sign: int) -> DataFrame:
@@ -113,16 +114,20 @@ def _write_totals(new: DataFrame, old: DataFrame | None, path: str, gen: int) ->
     _write(lengths.agg(F.sum("messages").alias("messages"), F.sum("length").alias("length")), path, "totals", gen)
 
 
-def _commit(spark: SparkSession, path: str, gen: int, base: int) -> None:
-    spark.range(1).select(F.lit(base).cast("long").alias("base")).write.mode("overwrite").parquet(f"{path}/commits/gen={gen}")
+def _commit(spark: SparkSession, path: str, gen: int, base: int, change_set: str = "") -> None:
+    row = spark.range(1).select(F.lit(base).cast("long").alias("base"), F.lit(change_set).alias("change_set"))
+    row.write.mode("overwrite").parquet(f"{path}/commits/gen={gen}")
+
+
+def _commits(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("base bigint, change_set string, gen bigint").option("basePath", f"{path}/commits").parquet(f"{path}/commits")
 
 
 def write_postings(messages: DataFrame, path: str) -> None:
     """Index all ``messages`` as generation 0 of a new index."""
     spark = messages.sparkSession
     rows = search_text(messages).withColumns({"seq": F.lit(-1).cast("long"), "live": F.lit(True)})
-    _write_generation(rows, path, 0)
-    _write_totals(spark.read.parquet(f"{path}/forward/gen=0"), None, path, 0)
+    _write_totals(_write_generation(rows, path, 0), None, path, 0)
     _commit(spark, path, 0, 0)
 
 
@@ -148,7 +153,7 @@ class Postings:
 
 SCHEMAS = {
     "postings": "token string, block bigint, docs array<struct<rowid:bigint,n:int,bits:int,len:bigint,places:array<bigint>>>, most int, shortest bigint, gen bigint, lead string",
-    "forward": "rowid bigint, seq bigint, live boolean, doc_len bigint, tokens array<string>, gen bigint",
+    "forward": "rowid bigint, seq bigint, live boolean, doc_len bigint, entries array<struct<token:string,n:int,bits:int,places:array<bigint>>>, gen bigint",
     "tokens": "token string, holding bigint, gen bigint, lead string",
     "totals": "messages bigint, length bigint, gen bigint",
     "gone": "rowid bigint, gen bigint",
@@ -162,8 +167,7 @@ def _table(spark: SparkSession, path: str, table: str, base: int, gen: int) -> D
 
 def read_postings(spark: SparkSession, path: str) -> Postings:
     """The index at ``path`` as of its last committed generation."""
-    commits = spark.read.schema("base bigint, gen bigint").option("basePath", f"{path}/commits").parquet(f"{path}/commits")
-    base, gen = commits.agg(F.max_by("base", "gen"), F.max("gen")).first()
+    base, gen = _commits(spark, path).agg(F.max_by("base", "gen"), F.max("gen")).first()
     held = {t: _table(spark, path, t, base, gen) for t in ("postings", "tokens", "totals")}
     gone = _table(spark, path, "gone", base + 1, gen) if gen > base else None
     return Postings(path, base, gen, held["postings"], held["tokens"], held["totals"], gone)
@@ -208,13 +212,17 @@ def term_hits(index: Postings, term: Text, blocks: DataFrame | None = None) -> D
     mask = _mask(term)
     bounds = [(k * COLUMN_STEP, (k + 1) * COLUMN_STEP) for k, c in enumerate(TEXT_COLUMNS) if COLUMN_BITS[c] & mask]
 
-    def inside(place: Column) -> Column:
-        return reduce(Column.__or__, [(place >= a) & (place < b) for a, b in bounds])
+    def inside(places: Column) -> Column:
+        if mask == ALL_BITS:
+            return places
+        return F.filter(places, lambda place: reduce(Column.__or__, [(place >= a) & (place < b) for a, b in bounds]))
 
     def docs(token: str, is_prefix: bool, *fields: str) -> DataFrame:
-        rows = _some(index, token, is_prefix, blocks).select("gen", F.explode("docs").alias("d"))
-        rows = rows.select("gen", "d.rowid", "d.len", "d.bits", *[f"d.{f}" for f in fields]).filter(F.col("bits").bitwiseAND(mask) != 0)
-        return _without_gone(index, rows)
+        # fields are taken out of the blocks one by one, so that the scan reads no others
+        wanted = ["rowid", "len", *fields] + (["bits"] if mask != ALL_BITS else [])
+        rows = _some(index, token, is_prefix, blocks).select("gen", *[F.col(f"docs.{f}").alias(f) for f in wanted])
+        rows = rows.select("gen", F.explode(F.arrays_zip(*wanted)).alias("d")).select("gen", *[f"d.{f}" for f in wanted])
+        return _without_gone(index, rows if mask == ALL_BITS else rows.filter(F.col("bits").bitwiseAND(mask) != 0))
 
     if not tokens:
         return index.postings.limit(0).select(F.col("block").alias("rowid"), F.lit(0).cast("long").alias("n"), F.col("shortest").alias("len"))
@@ -222,13 +230,14 @@ def term_hits(index: Postings, term: Text, blocks: DataFrame | None = None) -> D
         if mask == ALL_BITS:
             found = docs(tokens[0], prefix, "n").select("rowid", F.col("n").cast("long").alias("n"), "len")
         else:
-            found = docs(tokens[0], prefix, "places").select("rowid", F.size(F.filter("places", inside)).cast("long").alias("n"), "len")
+            found = docs(tokens[0], prefix, "places").select("rowid", F.size(inside(F.col("places"))).cast("long").alias("n"), "len")
         return found.groupBy("rowid").agg(F.sum("n").alias("n"), F.first("len").alias("len")) if prefix else found
 
     parts = []
     for offset, token in enumerate(tokens):
         is_prefix = prefix and offset == len(tokens) - 1
-        starts = _starts(inside, offset)
+        # where the phrase would begin; columns are far apart, so a start lies in the column of its words
+        starts = _moved(inside(F.col("places")), offset)
         parts.append(docs(token, is_prefix, "places").select("rowid", "len", F.lit(offset).alias("offset"), starts.alias("starts")))
     by_offset = [F.flatten(F.collect_list(F.when(F.col("offset") == k, F.col("starts")))).alias(f"starts_{k}") for k in range(len(tokens))]
     joined = reduce(DataFrame.unionByName, parts).groupBy("rowid").agg(F.first("len").alias("len"), *by_offset)
@@ -236,14 +245,13 @@ def term_hits(index: Postings, term: Text, blocks: DataFrame | None = None) -> D
     return joined.select("rowid", F.size(together).cast("long").alias("n"), "len").filter("n > 0")
 
 
-def _starts(inside, offset: int) -> Column:
-    """Where a phrase would begin whose word number ``offset`` stands at each of the places. A start is in the column of its words, as columns are far apart."""
-    return F.transform(F.filter("places", inside), lambda p: p - F.lit(offset))
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - F.lit(by)) if by else places
 
 
 def corpus_totals(index: Postings) -> DataFrame:
     """One row: messages and their mean length, summed from the kept differences."""
-    return index.totals.agg(F.sum("messages").alias("messages"), (F.sum("length") / F.sum("messages")).alias("mean_len"))
+    return index.totals.agg(F.sum("messages").alias("messages"), F.try_divide(F.sum("length"), F.sum("messages")).alias("mean_len"))
 
 
 def holding(index: Postings, term: Text) -> DataFrame:
@@ -369,17 +377,17 @@ def ranked_rows(index: Postings, terms: list[Text], limit: int = 0, allowed: Dat
 # --- changes -------------------------------------------------------------------------------------------------
 
 
-def add_changes(spark: SparkSession, path: str, changes: DataFrame, gen: int | None = None) -> None:
+def add_changes(spark: SparkSession, path: str, changes: DataFrame, change_set: str = "") -> None:
     """Add a generation with message changes (``op``, ``seq``, message columns); nothing that is stored is rewritten.
 
     Of several changes to a row the highest ``seq`` counts, also against what is stored already. What the rows held before is looked
-    up by the least and greatest row id of the changes, so only the files of those rows are read. ``gen`` names the generation
-    (by default the next one); a generation that is written again is overwritten, and one already committed is left as it is.
+    up by the least and greatest row id of the changes, so only the files of those rows are read. A generation that was cut off is
+    not seen and is overwritten by the next one; a named ``change_set`` that is in already is not added again. One writer at a time.
     """
     index = read_postings(spark, path)
-    gen = index.gen + 1 if gen is None else gen
-    if gen <= index.gen:
+    if change_set and _commits(spark, path).filter(F.col("change_set") == change_set).limit(1).count():
         return
+    gen = index.gen + 1
     newest = newest_changes(changes)
     low, high = newest.agg(F.min("rowid"), F.max("rowid")).first()
     if low is None:
@@ -388,12 +396,11 @@ def add_changes(spark: SparkSession, path: str, changes: DataFrame, gen: int | N
     old = before.select("rowid", F.col("seq").alias("old_seq")).withColumnRenamed("rowid", "old_row")
     fresh = newest.join(old, newest["rowid"] == old["old_row"], "left").filter(F.coalesce(F.col("seq") > F.col("old_seq"), F.lit(True))).drop("old_row", "old_seq")
     texts = search_text(fresh).join(fresh.select("rowid", "seq", (F.col("op") != "delete").alias("live")), "rowid")
-    _write_generation(texts, path, gen)
-    written = spark.read.schema(SCHEMAS["forward"].removesuffix(", gen bigint")).parquet(f"{path}/forward/gen={gen}")
+    written = _write_generation(texts, path, gen)
     replaced = before.join(written.select("rowid"), "rowid", "left_semi")
     _write(replaced.select("rowid"), path, "gone", gen)
     _write_totals(written, replaced, path, gen)
-    _commit(spark, path, gen, index.base)
+    _commit(spark, path, gen, index.base, change_set)
 
 
 def _current_forward(spark: SparkSession, index: Postings, where: Column | None = None) -> DataFrame:

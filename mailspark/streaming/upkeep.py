@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mailspark.operators.counters import unread_deltas
+from mailspark.operators.counters import after_changes, unread_deltas
 from mailspark.operators.index import apply_changes, index_table, newest_changes, search_text
+from mailspark.operators.postings import add_changes
 
 # Rows per bucket. New mail has new row ids, so a batch of changes touches few buckets.
 BUCKET_ROWS = 1 << 20
@@ -66,20 +67,39 @@ def follow_changes(changes: DataFrame, path: str, checkpoint: str, bucket_rows:
     return writer.trigger(availableNow=True).start()
 
 
-def follow_unread(changes: DataFrame, folders: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
-    """Running sum of unread steps per folder; each batch stores the folders it changed.
+def follow_postings(changes: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Add a stream of message changes to the stored postings, one generation a batch; a batch that comes again is not added twice."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        add_changes(batch.sparkSession, path, batch, f"{stream}-{batch_id}")
+
+    writer = changes.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
 
-    Sums only: a counter that would pass below zero on the way needs ``counters.after_changes``.
+
+def follow_unread(
+    changes: DataFrame, folders: DataFrame, start: DataFrame, sink: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
+    """Unread counters kept by a stream of changes: ``start`` (folder_id, unread_count) plus all steps so far, never below zero on the way.
+
+    Each batch reads the counters of the batch before and writes its own (one row per folder), so the cost of a batch does not grow
+    with the stream, and a repeated batch gives the same counters. Steps are folded in blocks of their sequence, so one busy folder is
+    shared by many tasks. Batches must come in the order of ``seq``.
     """
-    sums = unread_deltas(changes, folders).groupBy("folder_id").agg(F.sum("step").alias("change"))
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        spark = batch.sparkSession
+        before = start if batch_id == 0 else spark.read.parquet(f"{sink}/batch={batch_id - 1}")
+        after = after_changes(before.select("folder_id", "unread_count"), unread_deltas(batch, folders))
+        after.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
-    writer = sums.writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", checkpoint)
-    return writer.trigger(availableNow=True).start()
+    writer = changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
 def latest_unread(spark: SparkSession, sink: str) -> DataFrame:
+    """folder_id and unread_count as of the last batch."""
     stored = spark.read.option("basePath", sink).parquet(sink)
-    return stored.groupBy("folder_id").agg(F.max_by("change", "batch").alias("change"))
+    last = stored.agg(F.max("batch")).scalar()
+    return stored.filter(F.col("batch") == last).select("folder_id", "unread_count")

@@ -125,3 +125,20 @@ def test_index_upkeep(spark, mail, tmp_path):
     gone = mail(*[{"rowid": n} for n in got]).withColumn("seq", F.lit(1)).withColumn("op", F.lit("delete"))
     upkeep.upsert(spark, path, gone, "two", bucket_rows=6)
     assert upkeep.read_buckets(spark, path).count() == 0
+
+
+def test_unread_counters_over_several_batches(spark, tmp_path):
+    folders = spark.createDataFrame([("a", "A", "inbox"), ("b", "B", None), ("c", "C", "drafts")], "id string, name string, type string")
+    start = spark.createDataFrame([("a", 1), ("b", 0), ("c", 2)], "folder_id string, unread_count bigint")
+    schema = "seq bigint, op string, folder_id string, is_draft int, old_is_read int, is_read int"
+    # a: 1 -1 -1 (held at zero) +1, then -1; b: held at zero, then +2; c counts drafts only
+    batches = [
+        [(1, "delete", "a", 0, 0, None), (2, "delete", "a", 0, 0, None), (3, "insert", "a", 0, None, 0), (4, "delete", "b", 0, 0, None), (5, "insert", "c", 0, None, 0)],
+        [(6, "update", "a", 0, 0, 1), (7, "insert", "b", 0, None, 0), (8, "insert", "b", 0, None, 0), (9, "update", "c", 1, 0, 1)],
+    ]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        upkeep.follow_unread(stream, folders, start, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    found = {r.folder_id: r.unread_count for r in upkeep.latest_unread(spark, str(tmp_path / "out")).collect()}
+    assert found == {"a": 0, "b": 2, "c": 1}
