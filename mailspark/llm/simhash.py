@@ -222,17 +222,24 @@ def class_ids(spark: SparkSession, marked: DataFrame, distance: int) -> DataFram
     return grouped.join(ids, "class").select("print", "component_id")
 
 
+def row_hash(docs: DataFrame) -> Column:
+    """Hash of all columns of a row. Maps, which Spark does not hash, count as their JSON text."""
+    parts = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema]
+    return F.xxhash64(*parts)
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame, distance: int = 2, shingle: int = 3, seed: int = 42) -> DataFrame:
     """One row of each near-duplicate class, all columns: the one with the smallest (doc_id, hash of all its columns).
 
-    Rows repeated in all columns count as copies. Null ids come after all others.
+    Rows repeated in all columns count as copies. Null ids come after all others. Columns may have any names and types. Rows are reduced to
+    the first of each fingerprint before anything is joined, so a fingerprint of very many rows is one row from then on.
     """
-    row_key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
-    keys = {"doc_id": F.col("doc_id"), "row_key": row_key}
-    marked = stored(spark, fingerprints(docs, keys, shingle, seed), "simhash")
-    grouped = marked.join(classes(spark, marked, distance), "print")
+    own = row_hash(docs)
+    marked = fingerprints(docs, {"doc_id": F.col("doc_id"), "row_key": own}, shingle, seed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_key"))).alias("first")
-    kept = grouped.groupBy("class").agg(first).select(F.col("first.doc_id").alias("_id"), F.col("first.row_key").alias("_key"))
-    kept = stored(spark, kept, "simhash-kept")
-    joined = docs.withColumn("_row_key", row_key).join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row_key") == F.col("_key")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_row_key"]).drop("_row_key")
+    firsts = stored(spark, marked.groupBy("print").agg(first), "simhash-firsts")
+    grouped = firsts.join(classes(spark, firsts, distance), "print").groupBy("class").agg(F.min("first").alias("first"))
+    free = "_" * (1 + max((len(c) for c in docs.columns), default=0))
+    kept = stored(spark, grouped.select(F.col("first.doc_id").alias(f"{free}id"), F.col("first.row_key").alias(f"{free}key")), "simhash-kept")
+    joined = docs.withColumn(f"{free}own", own).join(kept, F.col("doc_id").eqNullSafe(F.col(f"{free}id")) & (F.col(f"{free}own") == F.col(f"{free}key")), "left_semi")
+    return joined.dropDuplicates(["doc_id", f"{free}own"]).drop(f"{free}own")

@@ -113,3 +113,11 @@ def test_components_of_paths_stars_and_nothing(spark):
     got = dict(tuple(r) for r in components(frame).collect())
     assert got == {k: 1 for k in range(1, 71)} | {k: 1000 for k in range(1000, 1300)} | {2000: 2000, 2001: 2000}
     assert components(frame.filter(F.lit(False))).count() == 0
+
+
+def test_helper_names_and_maps_are_no_trouble(spark):
+    rows = [(k, "one two three four five" if k < 6 else f"text number {k} is its own", {"a": k % 2}, k, "x", None) for k in [0, 1, 1, 5, 7, 8]]
+    schema = "doc_id bigint, text string, tags map<string,int>, _id bigint, _row_key string, first struct<m:map<string,int>>"
+    kept = S.deduplicated(spark, spark.createDataFrame(rows, schema).repartition(3))
+    assert kept.columns == ["doc_id", "text", "tags", "_id", "_row_key", "first"]
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 7, 8]
