@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailspark.functions.dates import cutoff_column
-from mailspark.functions.text import SEPARATORS, TEXT_COLUMNS, fold, strip, token_array
+from mailspark.functions.text import SEPARATORS, TEXT_COLUMNS, WHITE, fold, strip, token_array
 from mailspark.operators.index import with_index
 from mailspark.operators.joins import salted_join
 from mailspark.operators.terms import (
@@ -27,7 +27,9 @@ FALSE_WORDS = ("false", "0", "no", "n", "off")
 
 # Fixed value: the shape of one term. An optional minus, then a quoted phrase, a field with a quoted
 # or bare value, or a bare word; a quote without its partner takes the rest of the text.
-TERM = r'-?(?:"[^"]*"|"[^"]*\z|[A-Za-z_]\w*:(?:"[^"]*"|"[^"]*\z|[^\s"]\S*|)|[^\s"]\S*)'
+# Terms are parted by white space of any script.
+_FULL, _START = f"[^{WHITE}]", f'[^{WHITE}"]'
+TERM = rf'-?(?:"[^"]*"|"[^"]*\z|[A-Za-z_]\w*:(?:"[^"]*"|"[^"]*\z|{_START}{_FULL}*|)|{_START}{_FULL}*)'
 UNTERMINATED = r'^(?:[A-Za-z_]\w*:)?"[^"]*\z'
 
 # What is said about a term that cannot be read.

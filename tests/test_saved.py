@@ -111,3 +111,9 @@ def test_all_searches_at_once_equal_single_searches(spark, mail, tmp_path):
     assert got[len(cases)] == set()
     counts = {r.search_id: (r.hits, r.shown) for r in saved.hit_counts(searches, hits).collect()}
     assert counts[1][0] == len(got[1]) and counts[len(cases)] == (0, "0 messages")
+
+
+def test_terms_are_parted_by_white_space_of_any_script(spark):
+    for blank in ("\u00a0", "\u3000", "\u2003", "\x85", "\u2028", " \u00a0\t"):
+        (rows,) = parse(spark, f"invoice{blank}unread:{blank}from:bob")
+        assert [(r.kind, r.phrase) for r in rows] == [("text", "invoice"), ("flag", None), ("text", "bob")], repr(blank)
