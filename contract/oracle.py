@@ -318,6 +318,9 @@ SQL["profile_document"] = f"""{WITH}, bf AS ({BY_FOLDER}), pm AS (SELECT substr(
     (SELECT '{{' || string_agg(to_json(table_name) || ':' || row_count, ',' ORDER BY table_name) || '}}' FROM tr) AS table_rows
   FROM s"""
 
+SQL["search_offset_deep"] = f"""{WITH} SELECT {LIST} FROM m
+  QUALIFY row_number() OVER (ORDER BY date DESC, id DESC) > (SELECT count(*) // 2 FROM m)"""
+
 RULE = """((coalesce(f.type = 'drafts', false) OR f.name ILIKE '%draft%') AND coalesce(m.is_draft, 0) = 1)
   OR ((f.type IS NULL OR (f.type <> 'drafts' AND f.name NOT ILIKE '%draft%')) AND coalesce(m.is_draft, 0) = 0)"""
 UNREAD = f"""SELECT f.id AS folder_id, count(m.id) AS unread_count FROM f LEFT JOIN m
@@ -327,6 +330,23 @@ STEPS = f"""c AS (SELECT *, rowid % 4 AS k FROM m),
     WHEN k = 2 AND is_read = 1 THEN -1 WHEN k = 2 AND is_read = 0 THEN 1 END AS step
     FROM c m JOIN f ON f.id = m.folder_id WHERE {RULE})"""
 SQL["folder_unread"] = f"{WITH} {UNREAD}"
+TWO = f"""{WITH}, m2 AS (SELECT 'one' AS mailbox, * FROM m UNION ALL SELECT 'two', * REPLACE (
+    CASE WHEN rowid % 3 = 0 THEN 0 ELSE is_read END AS is_read) FROM m WHERE rowid % 7 <> 3),
+  f2 AS (SELECT 'one' AS mailbox, * FROM f UNION ALL SELECT 'two', id, name,
+    CASE id WHEN 'f-spam' THEN 'custom' WHEN 'f-all' THEN 'spam' ELSE type END FROM f),
+  sp AS (SELECT DISTINCT m2.mailbox, message_id FROM m2 JOIN f2 ON f2.mailbox = m2.mailbox AND f2.id = folder_id
+    WHERE f2.type = 'spam' AND coalesce(message_id, '') <> ''),
+  kept AS (SELECT m2.* FROM m2 LEFT JOIN sp USING (mailbox, message_id) WHERE sp.mailbox IS NULL)"""
+SQL["hide_spam_two_mailboxes"] = f"{TWO} SELECT mailbox, id FROM kept"
+SQL["view_two_mailboxes"] = f"""{TWO} SELECT mailbox, id, coalesce(subject, '') AS subject FROM kept
+  QUALIFY coalesce(message_id, '') = '' OR row_number() OVER (PARTITION BY mailbox, message_id ORDER BY rowid) = 1"""
+SQL["folders_two_mailboxes"] = f"""{TWO} SELECT m2.mailbox, m2.id FROM m2 JOIN f2 ON f2.mailbox = m2.mailbox AND f2.id = folder_id
+  WHERE f2.type = 'spam'"""
+SQL["unread_two_mailboxes"] = f"""{TWO} SELECT f.mailbox, f.id AS folder_id, count(m.id) AS unread_count FROM f2 f
+  LEFT JOIN m2 m ON m.mailbox = f.mailbox AND m.folder_id = f.id AND m.is_read = 0 AND ({RULE}) GROUP BY f.mailbox, f.id"""
+SQL["profile_two_mailboxes"] = f"""{TWO} SELECT f.mailbox, f.id AS folder_id, coalesce(f.type, '(null)') AS type, count(m.id) AS messages,
+  count(*) FILTER (m.is_read = 0) AS unread FROM f2 f LEFT JOIN m2 m ON m.mailbox = f.mailbox AND m.folder_id = f.id
+  GROUP BY f.mailbox, f.id, f.type"""
 SQL["folder_unread_after_changes"] = f"""{WITH}, u AS ({UNREAD}), {STEPS},
   run AS (SELECT folder_id, step, sum(step) OVER (PARTITION BY folder_id ORDER BY seq) AS s FROM st WHERE step IS NOT NULL),
   ends AS (SELECT folder_id, sum(step) AS total, min(s) AS lowest FROM run GROUP BY folder_id)

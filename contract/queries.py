@@ -307,6 +307,41 @@ def search_offset(spark, sf):
     return S.search(V.messages(spark, sf), limit=0, offset=100)
 
 
+@query
+def search_offset_deep(spark, sf):
+    """Rows after the first half, the place found by counting."""
+    rows = S.list_rows(V.messages(spark, sf))
+    return S.skip(rows, S.NEWEST, rows.count() // 2, block=100)
+
+
+@query
+def view_two_mailboxes(spark, sf):
+    mail, folders = V.two_mailboxes(spark, sf)
+    return S.search_view(mail, folders, columns=("mailbox", "id", "subject"))
+
+
+@query
+def hide_spam_two_mailboxes(spark, sf):
+    mail, folders = V.two_mailboxes(spark, sf)
+    return S.hide_spam(mail, folders).select("mailbox", "id")
+
+
+@query
+def folders_two_mailboxes(spark, sf):
+    mail, folders = V.two_mailboxes(spark, sf)
+    return S.search(mail, [folder("spam")], folders=folders, columns=("mailbox", "id"))
+
+
+@query
+def unread_two_mailboxes(spark, sf):
+    return counters.folder_unread(*V.two_mailboxes(spark, sf))
+
+
+@query
+def profile_two_mailboxes(spark, sf):
+    return profile.folder_profile(*V.two_mailboxes(spark, sf))
+
+
 @query
 def search_keyset_page(spark, sf):
     rows = S.list_rows(V.messages(spark, sf))

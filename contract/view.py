@@ -50,6 +50,16 @@ def folders(spark: SparkSession, archive: bool = False) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS folders(id, name, type)")
 
 
+def two_mailboxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Messages and folders of two mailboxes that use the same row, folder and message ids; in the second, spam is another folder."""
+    mail, box = messages(spark, sf_dir), folders(spark)
+    second = mail.filter("rowid % 7 <> 3").withColumn("is_read", F.when(F.col("rowid") % 3 == 0, 0).otherwise(F.col("is_read")))
+    other = F.when(F.col("id") == "f-spam", "custom").when(F.col("id") == "f-all", "spam").otherwise(F.col("type"))
+    both = [(mail, box), (second, box.withColumn("type", other))]
+    (m1, f1), (m2, f2) = [[t.withColumn("mailbox", F.lit(name)) for t in pair] for name, pair in zip(("one", "two"), both)]
+    return m1.unionByName(m2), f1.unionByName(f2)
+
+
 def messages(spark: SparkSession, sf_dir: str, flags: bool = True, html: bool = False) -> DataFrame:
     """Messages with only the joins a query needs: ``flags`` brings in labels, ``html`` pages."""
     d = table(spark, sf_dir, "documents")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailspark.operators.joins import salted_join
+from mailspark.schemas import mailbox_key
 
 # Changes of one folder are first folded in blocks of this many sequence numbers.
 BLOCK = 1 << 16
@@ -20,6 +21,7 @@ def folder_rules(folders: DataFrame) -> DataFrame:
     drafts = (F.col("type") == "drafts") | drafts_name
     others = F.col("type").isNull() | ((F.col("type") != "drafts") & ~drafts_name)
     return folders.select(
+        *mailbox_key(folders),
         F.col("id").alias("folder_id"),
         F.coalesce(drafts, F.lit(False)).alias("counts_drafts"),
         F.coalesce(others, F.lit(False)).alias("counts_others"),
@@ -34,14 +36,15 @@ def _counted(is_draft: Column) -> Column:
 def folder_unread(messages: DataFrame, folders: DataFrame) -> DataFrame:
     """Unread counter of every folder. Messages are counted before the join."""
     draft = F.coalesce(F.col("is_draft"), F.lit(0))
-    unread = messages.filter(F.col("is_read") == 0).groupBy("folder_id").agg(
+    boxed = mailbox_key(messages, folders)
+    unread = messages.filter(F.col("is_read") == 0).groupBy(*boxed, "folder_id").agg(
         F.count_if(draft == 1).alias("drafts"), F.count_if(draft == 0).alias("others")
     )
     amount = F.when(F.col("counts_drafts"), F.col("drafts")).otherwise(F.lit(0)) + F.when(
         F.col("counts_others"), F.col("others")
     ).otherwise(F.lit(0))
-    joined = folder_rules(folders).join(unread, "folder_id", "left")
-    return joined.select("folder_id", F.coalesce(amount, F.lit(0)).alias("unread_count"))
+    joined = folder_rules(folders).join(unread, [*boxed, "folder_id"], "left")
+    return joined.select(*boxed, "folder_id", F.coalesce(amount, F.lit(0)).alias("unread_count"))
 
 
 def unread_deltas(changes: DataFrame, folders: DataFrame) -> DataFrame:
@@ -60,7 +63,7 @@ def unread_deltas(changes: DataFrame, folders: DataFrame) -> DataFrame:
     steps = changes.withColumn("step", step.cast("long")).filter(F.col("step").isNotNull())
     rules = folder_rules(folders).withColumnRenamed("folder_id", "rule_folder")
     matched = salted_join(steps, rules, "folder_id", "rule_folder", "seq", "inner")
-    return matched.filter(_counted(F.col("is_draft"))).select("folder_id", "seq", "step")
+    return matched.filter(_counted(F.col("is_draft"))).select(*mailbox_key(changes, folders), "folder_id", "seq", "step")
 
 
 def after_changes(counters: DataFrame, deltas: DataFrame) -> DataFrame:
@@ -71,20 +74,19 @@ def after_changes(counters: DataFrame, deltas: DataFrame) -> DataFrame:
     most of the changes is shared by many tasks.
     """
     block = F.floor(F.col("seq") / BLOCK).alias("block")
-    steps = deltas.select("folder_id", block, "seq", "step")
-    inside = Window.partitionBy("folder_id", "block").orderBy("seq")
+    folder = [*mailbox_key(deltas, counters), "folder_id"]
+    steps = deltas.select(*folder, block, "seq", "step")
+    inside = Window.partitionBy(*folder, "block").orderBy("seq")
     blocks = (
         steps.withColumn("running", F.sum("step").over(inside))
-        .groupBy("folder_id", "block")
+        .groupBy(*folder, "block")
         .agg(F.sum("step").alias("total"), F.min("running").alias("lowest"))
     )
-    earlier = Window.partitionBy("folder_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*folder).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     ends = (
         blocks.withColumn("lowest", F.coalesce(F.sum("total").over(earlier), F.lit(0)) + F.col("lowest"))
-        .groupBy("folder_id")
+        .groupBy(*folder)
         .agg(F.sum("total").alias("total"), F.min("lowest").alias("lowest"))
     )
     final = F.col("total") + F.greatest(F.col("unread_count"), -F.col("lowest"))
-    return counters.join(ends, "folder_id", "left").select(
-        "folder_id", F.coalesce(final, F.col("unread_count")).alias("unread_count")
-    )
+    return counters.join(ends, folder, "left").select(*folder, F.coalesce(final, F.col("unread_count")).alias("unread_count"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from mailspark.functions.dates import instant
 from mailspark.functions.text import TEXT_COLUMNS, pad, token_array, token_count
-from mailspark.schemas import ADDRESSES
+from mailspark.operators.joins import matched
+from mailspark.schemas import ADDRESSES, mailbox_key
 
 
 def _recipients(column: str) -> Column:
@@ -91,18 +92,19 @@ def token_stats(messages: DataFrame) -> DataFrame:
 
 
 def newest_changes(changes: DataFrame, key: str = "rowid", order: str = "seq") -> DataFrame:
-    """Last change per key. Aggregates before the shuffle, so a key changed very often is no hot spot."""
-    rest = [c for c in changes.columns if c != key]
-    last = changes.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("last"))
-    return last.select(key, *[F.col("last")[c].alias(c) for c in rest])
+    """Last change per key of a mailbox. Aggregates before the shuffle, so a key changed very often is no hot spot."""
+    keys = [*mailbox_key(changes), key]
+    rest = [c for c in changes.columns if c not in keys]
+    last = changes.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("last"))
+    return last.select(*keys, *[F.col("last")[c].alias(c) for c in rest])
 
 
 def apply_changes(current: DataFrame, changes: DataFrame) -> DataFrame:
     """``current`` after inserts, updates and deletes; ``changes`` has ``op``, ``seq`` and the row columns.
 
-    Rows are matched by ``rowid``; of several changes to one row the highest ``seq`` wins. The same
+    Rows are matched by ``rowid`` (and ``mailbox``, where mailboxes are told apart); of several changes to one row the highest ``seq`` wins. The same
     changes applied twice give the same table.
     """
     newest = newest_changes(changes)
-    kept = current.join(newest.select("rowid"), "rowid", "left_anti")
+    kept = matched(current, newest, "rowid", "left_anti")
     return kept.unionByName(newest.filter(F.col("op") != "delete").select(*current.columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mailspark.schemas import SIDE_TABLES, schema_status
+from mailspark.schemas import SIDE_TABLES, mailbox_key, schema_status
 
 
 def _total(name: str) -> Column:
@@ -81,10 +81,12 @@ def folder_profile(messages: DataFrame, folders: DataFrame) -> DataFrame:
 
     Messages are counted per folder before the join, so a folder with most of the mail costs one row.
     """
-    counts = messages.groupBy(F.col("folder_id").alias("id")).agg(
+    boxed = mailbox_key(messages, folders)
+    counts = messages.groupBy(*boxed, F.col("folder_id").alias("id")).agg(
         F.count("id").alias("messages"), F.count_if(F.col("is_read") == 0).alias("unread")
     )
-    return folders.select("id", "type").join(counts, "id", "left").select(
+    return folders.select(*boxed, "id", "type").join(counts, [*boxed, "id"], "left").select(
+        *boxed,
         F.col("id").alias("folder_id"),
         F.coalesce("type", F.lit("(null)")).alias("type"),
         F.coalesce("messages", F.lit(0)).alias("messages"),

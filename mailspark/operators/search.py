@@ -10,15 +10,15 @@ from collections.abc import Iterable
 from datetime import datetime, timezone
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mailspark.operators.index import with_index, with_instant, with_pads
-from mailspark.operators.joins import SALTS, salt_of, salted_join
+from mailspark.operators.joins import SALTS, matched, salt_of, salted_join
 from mailspark.operators.postings import Postings, ranked_rows, term_hits
 from mailspark.operators.rank import bm25, corpus_stats, matches
 from mailspark.operators.terms import Flag, Folder, Term, Text, When
-from mailspark.schemas import DETAIL_COLUMNS, LIST_COLUMNS, result_column
+from mailspark.schemas import DETAIL_COLUMNS, LIST_COLUMNS, mailbox_key, result_column
 
 NEWEST = (("date", False), ("id", False))
 BEST = (("score", True), ("id", True))
@@ -57,7 +57,7 @@ def _date_parts(messages: DataFrame, term: When, now: datetime | None) -> list[C
 
 def in_folders(messages: DataFrame, folders: DataFrame, type: str, negated: bool = False) -> DataFrame:
     """Messages whose folder has this type, or has it not (folders without a type stay)."""
-    ids = folders.filter(F.col("type") == type).select("id").withColumnRenamed("id", "folder_key")
+    ids = folders.filter(F.col("type") == type).select(*mailbox_key(messages, folders), F.col("id").alias("folder_key"))
     return salted_join(messages, ids, "folder_id", "folder_key", "rowid", "left_anti" if negated else "left_semi")
 
 
@@ -85,8 +85,8 @@ def _has_identity() -> Column:
 
 
 def spam_ids(messages: DataFrame, folders: DataFrame) -> DataFrame:
-    """Message ids with a copy in a spam folder, each once."""
-    return in_folders(messages.filter(_has_identity()), folders, "spam").select("message_id").distinct()
+    """Message ids with a copy in a spam folder, each once in its mailbox."""
+    return in_folders(messages.filter(_has_identity()), folders, "spam").select(*mailbox_key(messages), "message_id").distinct()
 
 
 def hide_spam(messages: DataFrame, folders: DataFrame, everything: DataFrame | None = None) -> DataFrame:
@@ -96,26 +96,31 @@ def hide_spam(messages: DataFrame, folders: DataFrame, everything: DataFrame | N
     message id stay and are spread by row id; a message id with very many copies is salted.
     """
     spam = spam_ids(messages if everything is None else everything, folders)
-    spam = spam.withColumnsRenamed({"message_id": "spam_id"})
+    boxed = mailbox_key(messages, spam)
+    spam = spam.withColumnsRenamed({"message_id": "spam_id", "mailbox": "spam_box"})
     repeated = spam.withColumn("spam_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     own_salt = F.when(_has_identity(), salt_of(F.col("rowid")).cast("long")).otherwise(F.col("rowid"))
     keyed = messages.withColumns({"_id": F.coalesce("message_id", F.lit("")), "_spread": own_salt})
     same = (keyed["_id"] == repeated["spam_id"]) & (keyed["_spread"] == repeated["spam_salt"])
+    if boxed:
+        same = same & keyed["mailbox"].eqNullSafe(repeated["spam_box"])
     return keyed.join(repeated, same, "left_anti").drop("_id", "_spread")
 
 
 def dup_representatives(messages: DataFrame) -> DataFrame:
-    """Smallest row id of every message id."""
-    return messages.filter(_has_identity()).groupBy("message_id").agg(F.min("rowid").alias("rowid"))
+    """Smallest row id of every message id of a mailbox."""
+    return messages.filter(_has_identity()).groupBy(*mailbox_key(messages), "message_id").agg(F.min("rowid").alias("rowid"))
 
 
 def visible_rows(messages: DataFrame, folders: DataFrame | None) -> DataFrame:
     """Row ids left in the mailbox view: the first copy of each message, none of a spam message.
 
-    One narrow aggregation decides copies and spam together. Rows without a message id form groups
+    Of several mailboxes each has its own copies and its own spam, and row ids come with their ``mailbox``. One narrow aggregation decides copies and spam together. Rows without a message id form groups
     of their own. ``folders=None`` keeps spam.
     """
+    boxed = mailbox_key(messages)
     narrow = messages.select(
+        *boxed,
         "rowid",
         F.coalesce("message_id", F.lit("")).alias("identity"),
         F.when(~_has_identity(), F.col("rowid")).alias("alone"),
@@ -124,16 +129,18 @@ def visible_rows(messages: DataFrame, folders: DataFrame | None) -> DataFrame:
     if folders is None:
         marked = narrow.withColumn("spam", F.lit(False))
     else:
-        spam = folders.filter(F.col("type") == "spam").select(F.col("id").alias("folder_key"), F.lit(True).alias("spam"))
+        spam = folders.filter(F.col("type") == "spam").select(
+            *mailbox_key(messages, folders), F.col("id").alias("folder_key"), F.lit(True).alias("spam")
+        )
         marked = salted_join(narrow, spam, "folder_id", "folder_key", "rowid", "left")
     in_spam = F.coalesce(F.col("spam"), F.lit(False)) & F.col("alone").isNull()
-    groups = marked.groupBy("identity", "alone").agg(F.min("rowid").alias("rowid"), F.max(in_spam).alias("spam"))
-    return groups.filter(~F.col("spam")).select("rowid")
+    groups = marked.groupBy(*boxed, "identity", "alone").agg(F.min("rowid").alias("rowid"), F.max(in_spam).alias("spam"))
+    return groups.filter(~F.col("spam")).select(*boxed, "rowid")
 
 
 def dedup(messages: DataFrame, everything: DataFrame | None = None) -> DataFrame:
     """First copy of each message. Which copy is first is decided over ``everything``, before filters."""
-    return messages.join(visible_rows(messages if everything is None else everything, None), "rowid", "left_semi")
+    return matched(messages, visible_rows(messages if everything is None else everything, None), "rowid", "left_semi")
 
 
 # --- searches ------------------------------------------------------------------------------------
@@ -180,7 +187,7 @@ def search_view(
     remove_spam = not include_spam and "spam" not in inside
     found = filtered(messages, terms, folders, now)
     if remove_copies:
-        found = found.join(visible_rows(messages, folders if remove_spam else None), "rowid", "left_semi")
+        found = matched(found, visible_rows(messages, folders if remove_spam else None), "rowid", "left_semi")
     elif remove_spam:
         found = hide_spam(found, folders, everything=messages)
     return _ordered_rows(messages, found, terms, limit, offset, columns)
@@ -198,11 +205,24 @@ def _ordered_rows(
     columns = list(columns)
     if wanted:
         stats = corpus_stats(messages, wanted)
-        rows = found.select(*[result_column(c) for c in columns], bm25(found, wanted, stats).alias("score"))
-        return take(rows, BEST, limit, offset)
-    hidden = [F.col("date").alias("_date"), F.col("id").alias("_id")]
-    rows = found.select(*[result_column(c) for c in columns], *hidden)
-    return take(rows, (("_date", False), ("_id", False)), limit, offset).drop("_date", "_id")
+        rows = found.select(*[result_column(c) for c in columns], *_hidden(found), bm25(found, wanted, stats).alias("score"))
+        return _shown(take(rows, _tie_order(found, ("score", "_id"), True), limit, offset))
+    rows = found.select(*[result_column(c) for c in columns], *_hidden(found))
+    return _shown(take(rows, _tie_order(found, ("_date", "_id"), False), limit, offset))
+
+
+def _hidden(found: DataFrame) -> list[Column]:
+    """Sort keys beside the shown columns."""
+    return [F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("date", "id", *mailbox_key(found))]
+
+
+def _tie_order(found: DataFrame, names: tuple, up: bool) -> tuple:
+    """These keys, and the mailbox where ids of several mailboxes may be alike."""
+    return tuple((c, up) for c in (*names, *[f"_{c}" for c in mailbox_key(found)]))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.drop("_date", "_id", "_mailbox")
 
 
 def filtered_stored(
@@ -238,34 +258,106 @@ def search_stored(
     """The rows of ``search``, from the stored index: a search reads the postings of its own tokens, and of a limited one only promising blocks."""
     terms = list(terms)
     found = filtered_stored(index, messages, terms, folders, now, limit + offset if limit else 0)
-    rows = [result_column(c) for c in columns]
+    rows = [*[result_column(c) for c in columns], *_hidden(found)]
     if _ranked(terms):
-        return take(found.select(*rows, "score"), BEST, limit, offset)
-    hidden = [F.col("date").alias("_date"), F.col("id").alias("_id")]
-    return take(found.select(*rows, *hidden), (("_date", False), ("_id", False)), limit, offset).drop("_date", "_id")
+        return _shown(take(found.select(*rows, "score"), _tie_order(found, ("score", "_id"), True), limit, offset))
+    return _shown(take(found.select(*rows), _tie_order(found, ("_date", "_id"), False), limit, offset))
+
+
+#: Up to this many sort keys may be ranked by one task; deeper places are found by counting.
+BLOCK = 1 << 16
+
+#: Rows drawn to part the others by; a round of counting leaves about one in this many.
+PIVOTS = 64
 
 
 def take(rows: DataFrame, order: tuple, limit: int, offset: int = 0) -> DataFrame:
     """Ordered rows after ``offset``, at most ``limit`` of them (0 = all)."""
     sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
-    if limit > 0:
+    if limit > 0 and offset <= BLOCK:
         return rows.orderBy(*sort).offset(offset).limit(limit)
-    return skip(rows, order, offset).orderBy(*sort) if offset > 0 else rows.orderBy(*sort)
+    rest = (skip(rows, order, offset) if offset > 0 else rows).orderBy(*sort)
+    return rest.limit(limit) if limit > 0 else rest
 
 
-def skip(rows: DataFrame, order: tuple, count: int) -> DataFrame:
+def skip(rows: DataFrame, order: tuple, count: int, block: int = BLOCK) -> DataFrame:
     """Rows after the first ``count``, without moving all rows through one task.
 
-    Only the sort keys of the first ``count`` rows are ranked; the last of them is the bound the
-    other rows are compared with. All keys of ``order`` point the same way. The cost grows with
-    ``count``; ``keyset_page`` has no such cost.
+    All keys of ``order`` point the same way and hold no nulls. Up to ``block`` keys are ranked by one task, and the other rows are
+    compared with the last of them. A deeper place is found by counting (``place``), in jobs that run while the result is
+    being planned. Of rows with equal keys on both sides of the place any may be left out. ``keyset_page`` has no such cost.
     """
-    sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     keys = [c for c, _ in order]
-    last = F.max if order[0][1] else F.min
-    first = rows.select(*keys).orderBy(*sort).limit(count)
-    bound = first.agg(F.struct(F.count(F.lit(1)).alias("found"), last(F.struct(*keys)).alias("last"))).scalar()
-    return rows.filter((bound["found"] == count) & after(order, [bound["last"][c] for c in keys]))
+    if count > block:
+        found = place(rows.select(*keys), order, count, block)
+        if found is None:
+            return rows.limit(0)
+        values, gone, enough = [F.lit(v) for v in found[0]], F.lit(found[1]), F.lit(True)
+    else:
+        up = order[0][1]
+        key = F.struct(*keys).alias("key")
+        first = rows.select(key).orderBy(F.col("key").asc() if up else F.col("key").desc()).limit(count)
+        equal = first.groupBy("key").agg(F.count(F.lit(1)).alias("gone"))
+        last = (F.max if up else F.min)(F.struct("key", "gone"))["key"], (F.max_by if up else F.min_by)("gone", "key")
+        bound = equal.agg(F.struct(F.sum("gone").alias("found"), last[0].alias("last"), last[1].alias("gone"))).scalar()
+        values, gone, enough = [bound["last"][c] for c in keys], bound["gone"], bound["found"] == count
+    behind = rows.filter(enough & after(order, values))
+    tied = rows.filter(enough & reduce(Column.__and__, [F.col(c) == v for c, v in zip(keys, values)]))
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    return behind.unionByName(tied.withColumn("_tied", number).filter(F.col("_tied") > gone).drop("_tied"))
+
+
+def place(keys: DataFrame, order: tuple, count: int, block: int = BLOCK) -> tuple | None:
+    """The sort key in place ``count``, and how many rows with this key are among the first ``count``; ``None`` when there are fewer rows.
+
+    Each round draws ``PIVOTS`` keys by hash, counts the rows between them, and goes on in the one range that holds the place, until
+    ``block`` rows or fewer are left to be ranked. Only pivots and their counts come to the driver.
+    """
+    names = [c for c, _ in order]
+    types = dict(keys.dtypes)
+
+    def literal(row) -> Column:
+        return F.struct(*[F.lit(v).cast(types[c]).alias(c) for c, v in zip(names, row)])
+
+    size = total = keys.count()
+    if total < count:
+        return None
+    up = order[0][1]
+    wanted = count if up else total - count + 1  # from the smallest key on
+    below, low, high = 0, None, None
+
+    def answer(key, equal: int) -> tuple:
+        before = below if up else total - below - equal
+        return tuple(key), count - before
+
+    while True:
+        left = keys.select(F.struct(*names).alias("k"), F.col(names[0]).alias("_first"))
+        if low is not None:
+            left = left.filter((F.col("_first") >= low[0]) & (F.col("k") > literal(low)))
+        if high is not None:
+            left = left.filter((F.col("_first") <= high[0]) & (F.col("k") < literal(high)))
+        left = left.select("k")
+        if size <= block:
+            counted = left.groupBy("k").agg(F.count(F.lit(1)).alias("equal"))
+            running = counted.withColumn("upto", F.sum("equal").over(Window.orderBy("k")))
+            hit = running.filter(F.col("upto") >= wanted - below).orderBy("k").first()
+            below += hit.upto - hit.equal
+            return answer(hit.k, hit.equal)
+        pivots = sorted({tuple(r.k) for r in left.orderBy(F.xxhash64("k")).limit(PIVOTS).collect()})
+        drawn = F.array(*[literal(p) for p in pivots])
+        at = F.size(F.filter(drawn, lambda p: p <= F.col("k"))).alias("at")
+        hit_pivot = F.array_contains(drawn, F.col("k")).alias("equal")
+        counts = {(r.at, r.equal): r["n"] for r in left.groupBy(at, hit_pivot).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for n in range(len(pivots) + 1):
+            equal = counts.get((n, True), 0)
+            if equal and below + equal >= wanted:
+                return answer(pivots[n - 1], equal)
+            below += equal
+            size = counts.get((n, False), 0)
+            if below + size >= wanted:
+                low, high = pivots[n - 1] if n else low, pivots[n] if n < len(pivots) else high
+                break
+            below += size
 
 
 def after(order: tuple, values: list) -> Column:
@@ -289,8 +381,6 @@ def keyset_page(rows: DataFrame, size: int, last: tuple[str, str] | None = None)
 
 def with_position(result: DataFrame, order: tuple, limit: int, offset: int = 0) -> DataFrame:
     """Number the first ``limit`` rows, counting on from ``offset``; one page, so one task numbers it."""
-    from pyspark.sql import Window
-
     sort = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     number = F.row_number().over(Window.orderBy(*sort)).cast("long") + offset
     return take(result, order, limit).withColumn("position", number)
@@ -301,8 +391,8 @@ def list_rows(messages: DataFrame) -> DataFrame:
 
 
 def load(messages: DataFrame, ids: DataFrame) -> DataFrame:
-    """Whole messages, bodies included, for a table of ids (column ``id``)."""
-    return messages.join(ids.select("id").distinct(), "id", "left_semi").select(*[result_column(c) for c in DETAIL_COLUMNS])
+    """Whole messages, bodies included, for a table of ids (column ``id``, and ``mailbox`` where mailboxes are told apart)."""
+    return matched(messages, ids, "id", "left_semi").select(*[result_column(c) for c in DETAIL_COLUMNS])
 
 
 def load_one(messages: DataFrame, id: str) -> DataFrame:

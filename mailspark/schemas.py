@@ -56,6 +56,17 @@ SIDE_TABLES = (
 )
 
 
+def mailbox_key(*frames: DataFrame) -> list[str]:
+    """``["mailbox"]`` if all frames tell mailboxes apart by a column of that name, else no key: they hold one mailbox.
+
+    Row ids, folder ids and message ids are unique in a mailbox only, so every key has this one in front. A mailbox column holds no nulls.
+    """
+    first, *others = frames
+    if "mailbox" not in first.columns and any("mailbox" in frame.columns for frame in others):
+        raise ValueError("mailboxes are told apart on one side only: the messages have no mailbox column")
+    return ["mailbox"] if all("mailbox" in frame.columns for frame in frames) else []
+
+
 def result_column(name: str) -> Column:
     """A stored column as it appears in results: flags as booleans, missing text as empty text."""
     if name in FLAG_COLUMNS:

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mailspark.operators.counters import after_changes, unread_deltas
 from mailspark.operators.index import apply_changes, index_table, newest_changes, search_text
 from mailspark.operators.postings import add_changes
+from mailspark.schemas import mailbox_key
 
 # Rows per bucket. New mail has new row ids, so a batch of changes touches few buckets.
 BUCKET_ROWS = 1 << 20
@@ -91,7 +92,7 @@ def follow_unread(
     def store(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         before = start if batch_id == 0 else spark.read.parquet(f"{sink}/batch={batch_id - 1}")
-        after = after_changes(before.select("folder_id", "unread_count"), unread_deltas(batch, folders))
+        after = after_changes(before.select(*mailbox_key(before), "folder_id", "unread_count"), unread_deltas(batch, folders))
         after.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     writer = changes.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
@@ -99,7 +100,7 @@ def follow_unread(
 
 
 def latest_unread(spark: SparkSession, sink: str) -> DataFrame:
-    """folder_id and unread_count as of the last batch."""
+    """folder_id (with its mailbox, where there are several) and unread_count as of the last batch."""
     stored = spark.read.option("basePath", sink).parquet(sink)
     last = stored.agg(F.max("batch")).scalar()
-    return stored.filter(F.col("batch") == last).select("folder_id", "unread_count")
+    return stored.filter(F.col("batch") == last).select(*mailbox_key(stored), "folder_id", "unread_count")
