@@ -303,6 +303,19 @@ SQL["profile_recipients"] = (
     f"{WITH} SELECT {mean_people('to_addresses', 'to_avg')}, {mean_people('cc_addresses', 'cc_avg')},"
     f" {mean_people('bcc_addresses', 'bcc_avg')} FROM m"
 )
+CELL = ", ".join(
+    [f"coalesce(sum({c}), 0)::BIGINT AS {c}_sum" for c in ("is_read", "is_flagged", "has_attachments", "is_draft")]
+    + [f"coalesce(sum(length({c})), 0)::BIGINT AS {c}_chars, count({c}) AS {c}_count, min(length({c})) AS {c}_min, max(length({c})) AS {c}_max"
+       for c in ("subject", "body_text", "snippet")]
+    + [f"coalesce(sum(CASE WHEN json_valid({c}_addresses) THEN json_array_length({c}_addresses) END), 0)::BIGINT AS {c}_people" for c in ("to", "cc", "bcc")]
+)
+SQL["profile_rollup"] = f"""{WITH} SELECT folder_id, substr(date, 1, 7) AS month, count(*) AS total,
+  count(*) FILTER (is_read = 0) AS marked_unread, {CELL}, count(*) FILTER (coalesce(body_html, '') <> '') AS with_html,
+  count(*) FILTER (coalesce(body_text, '') <> '') AS with_text, min(date) AS first_date, max(date) AS last_date FROM m GROUP BY 1, 2"""
+SQL["profile_rollup_totals"] = f"""{WITH} SELECT {TOTALS}, {span('subject')}, {span('body_text')}, {span('snippet')},
+  {mean_people('to_addresses', 'to_avg')}, {mean_people('cc_addresses', 'cc_avg')}, {mean_people('bcc_addresses', 'bcc_avg')} FROM m"""
+SQL["profile_sketches"] = f"""{WITH} SELECT folder_id, count(DISTINCT nullif(message_id, '')) AS ids, count(DISTINCT nullif(thread_id, '')) AS threads,
+  count(DISTINCT from_address) AS senders, true AS ids_near, true AS threads_near, true AS senders_near FROM m GROUP BY folder_id"""
 SQL["folder_profile"] = f"{WITH} {BY_FOLDER}"
 SQL["per_month"] = f"{WITH} SELECT substr(date, 1, 7) AS month, count(*) AS messages FROM m GROUP BY 1"
 SQL["table_rows"] = COUNTS

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from contract import view as V
 from mailspark.functions import bodies, dates, display
-from mailspark.operators import counters, events, index, postings, profile, rank
+from mailspark.operators import counters, events, index, postings, profile, rank, rollup
 from mailspark.operators import search as S
 from mailspark.operators.terms import before, flag, folder, since, text
 from mailspark.plans import saved, synth
@@ -406,6 +406,43 @@ def profile_document(spark, sf):
     )
 
 
+def _rollup(spark, sf):
+    """A stored rollup of the even rows, merged with one of the odd rows."""
+    path = scratch_dir(spark, "rollup")
+    mail = V.messages(spark, sf, html=True)
+    halves = [rollup.mailbox_rollup(mail.filter(F.col("rowid") % 2 == n)) for n in (0, 1)]
+    for n, half in enumerate(halves):
+        rollup.write_rollup(half, f"{path}/{n}")
+    return rollup.merge_rollups(*[spark.read.parquet(f"{path}/{n}") for n in (0, 1)])
+
+
+@query
+def profile_rollup(spark, sf):
+    cells = _rollup(spark, sf)
+    return cells.select("folder_id", "month", *[F.col(c).cast("long").alias(c) for c in rollup.SUMS], *rollup.LEAST, *rollup.MOST)
+
+
+@query
+def profile_rollup_totals(spark, sf):
+    return _rounded(rollup.totals(_rollup(spark, sf)).drop(*rollup.DISTINCT))
+
+
+@query
+def profile_sketches(spark, sf):
+    """Exact distinct counts by folder, and whether the merged sketches come within 3 % (or one value) of them."""
+    estimates = rollup.totals(_rollup(spark, sf), "folder_id").select("folder_id", *rollup.DISTINCT)
+    mail = V.messages(spark, sf, flags=False).withColumnsRenamed({"folder_id": "folder"})
+    exact = mail.groupBy("folder").agg(
+        F.count_distinct(F.nullif("message_id", F.lit(""))).alias("ids"),
+        F.count_distinct(F.nullif("thread_id", F.lit(""))).alias("threads"),
+        F.count_distinct("from_address").alias("senders"),
+    )
+    pairs = (("distinct_message_id", "ids"), ("distinct_thread_id", "threads"), ("distinct_senders", "senders"))
+    near = [F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(1.0), 0.03 * F.col(b)) for a, b in pairs]
+    joined = estimates.join(exact, F.col("folder_id") == F.col("folder"))
+    return joined.select("folder_id", "ids", "threads", "senders", *[c.alias(f"{b}_near") for c, (_, b) in zip(near, pairs)])
+
+
 @query
 def folder_unread(spark, sf):
     return counters.folder_unread(V.messages(spark, sf), V.folders(spark))

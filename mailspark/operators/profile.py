@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mailspark.operators import rollup
 from mailspark.schemas import SIDE_TABLES, mailbox_key, schema_status
+from mailspark.scratch import scratch_dir
 
 
 def _total(name: str) -> Column:
@@ -57,13 +59,18 @@ def profile_messages(messages: DataFrame) -> DataFrame:
 
 
 def profile_distinct(messages: DataFrame, approximate: bool = False) -> DataFrame:
-    """Distinct message ids, thread ids (empty text is none) and sender addresses."""
-    count = F.approx_count_distinct if approximate else F.count_distinct
-    return messages.agg(
-        count(F.nullif(F.col("message_id"), F.lit(""))).alias("distinct_message_id"),
-        count(F.nullif(F.col("thread_id"), F.lit(""))).alias("distinct_thread_id"),
-        count(F.col("from_address")).alias("distinct_senders"),
-    )
+    """Distinct message ids, thread ids (empty text is none) and sender addresses.
+
+    Exact counts take one pass over each column alone, grouped where it is read. ``approximate`` counts all three in one pass
+    by sketches, as the rollup does.
+    """
+    if approximate:
+        return messages.agg(*[F.hll_sketch_estimate(rollup.sketch(c)).alias(name) for name, c in rollup.DISTINCT.items()])
+    counts = None
+    for name, column in rollup.DISTINCT.items():
+        one = messages.select(rollup.distinct_value(column).alias("value")).distinct().agg(F.count("value").alias(name))
+        counts = one if counts is None else counts.select("*", one.scalar().alias(name))
+    return counts
 
 
 def profile_lengths(messages: DataFrame) -> DataFrame:
@@ -113,22 +120,30 @@ def table_rows(tables: dict[str, DataFrame]) -> DataFrame:
     return result
 
 
-def profile_document(tables: dict[str, DataFrame]) -> DataFrame:
+def profile_document(tables: dict[str, DataFrame], cells: DataFrame | None = None, approximate: bool = False) -> DataFrame:
     """The whole profile as one nested row.
 
-    Lists in it are as long as the mailbox has folders and months. Parts are joined as scalar
-    subqueries, each a one-row aggregate.
+    ``cells`` is the stored rollup of the messages (``rollup.mailbox_rollup``); without it the messages are scanned once for a rollup
+    that is written to scratch storage. Folder list, month list and totals are rolled up from its cells. Distinct counts are exact, from the message
+    table's three columns, or ``approximate``, from the rollup. Lists are as long as the mailbox has folders and months.
     """
     messages, folders = tables["messages"], tables["folders"]
-    stats = messages.agg(*_totals(), *_lengths(), *_recipients()).select(F.struct("*")).scalar()
-    distinct = profile_distinct(messages).select(F.struct("*")).scalar()
-
-    sized = folder_profile(messages, folders).select(
-        F.struct((-F.col("messages")).alias("order"), "folder_id", "type", "messages", "unread").alias("f")
+    if cells is None:
+        path = scratch_dir(messages.sparkSession, "rollup")
+        rollup.write_rollup(rollup.mailbox_rollup(messages), path)
+        cells = messages.sparkSession.read.parquet(path)
+    stats = rollup.totals(cells).select(F.struct("*")).scalar()
+    distinct = stats if approximate else profile_distinct(messages).select(F.struct("*")).scalar()
+
+    by_folder = cells.groupBy(F.col("folder_id").alias("id")).agg(F.sum("total").alias("messages"), F.sum("marked_unread").alias("unread"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    sized = folders.select("id", "type").join(by_folder, "id", "left").select(
+        F.col("id").alias("folder_id"), F.coalesce("type", F.lit("(null)")).alias("type"), zero("messages"), zero("unread")
     )
+    sized = sized.select(F.struct((-F.col("messages")).alias("order"), "folder_id", "type", "messages", "unread").alias("f"))
     ranked = F.array_sort(F.collect_list("f"))
     folder_list = F.transform(ranked, lambda f: F.struct(f["type"].alias("type"), f["messages"].alias("messages"), f["unread"].alias("unread")))
-    months = per_month(messages).agg(
+    months = cells.groupBy("month").agg(F.sum("total").alias("messages")).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.coalesce("month", F.lit("")), "messages"))))
     )
     counted = table_rows({k: v for k, v in tables.items() if k in SIDE_TABLES}) if any(k in SIDE_TABLES for k in tables) else None
