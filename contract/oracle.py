@@ -505,6 +505,7 @@ def watch(hits: str, known: bool = False, newest: int = 0, window: int = 0) -> s
 SQL["watch_fresh"] = watch("is_read = 0") + " SELECT batch, id FROM e"
 SQL["watch_fire_existing"] = watch("true") + f" SELECT batch, id, CASE WHEN is_read = 0 THEN '1' ELSE '0' END AS unread FROM e"
 SQL["watch_baseline"] = watch("is_read = 0", known=True) + " SELECT batch, id FROM e"
+SQL["watch_silent"] = SQL["watch_baseline"]
 SQL["watch_query"] = watch(f"{has(' the ', ('subject',))} AND NOT {IN.format('spam')}") + " SELECT batch, id FROM e"
 SQL["watch_capped"] = watch("is_read = 0", newest=7) + " SELECT batch, id FROM e"
 SQL["watch_window"] = watch("is_read = 0", window=20) + " SELECT batch, id FROM e"

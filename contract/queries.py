@@ -580,6 +580,12 @@ def watch_baseline(spark, sf):
     return _watch(spark, sf, [flag("unread")], known=True).select("batch", "id")
 
 
+@query
+def watch_silent(spark, sf):
+    """The first batch is remembered without events."""
+    return _watch(spark, sf, [flag("unread")], silent=True).select("batch", "id")
+
+
 @query
 def watch_query(spark, sf):
     return _watch(spark, sf, [text("the", field="subject"), ~folder("spam")]).select("batch", "id")

@@ -55,6 +55,43 @@ def test_baseline_is_silent(spark, box):
     assert box.run(known=known) == ["m03"]
 
 
+def test_baseline_is_compared_with_the_first_batch_only(spark, box):
+    """Mail and baseline come in one batch; later the ids are known by the state, and a hot id counts once."""
+    known = spark.createDataFrame([("m01",), ("m09",), (None,)], "id string")
+    box.add({"id": "m01"}, *[{"id": "m02"} for _ in range(500)])
+    assert box.run(known=known) == ["m02"]
+    box.add({"id": "m09"}, {"id": "m03"}, {"id": "m02"}, {"id": "m01"})
+    assert box.run(known=known) == ["m03"]
+    box.add({"id": "m09"})
+    assert box.run(known=known) == []
+
+
+def test_first_batch_can_be_silent(box):
+    box.add({"id": "m01"}, {"id": "m02"})
+    assert box.run(silent=True) == []
+    box.add({"id": "m02"}, {"id": "m03"})
+    assert box.run(silent=True) == ["m03"]
+
+
+def test_window_remembers_ids_of_many_batches(spark, box):
+    for n in range(1, 8):
+        box.add({"id": f"m{n:02}"}, {"id": "m09"}, {"id": "m00", "date": "2020-01-01 00:00:00"})
+        assert box.run(window=2) == ([f"m{n:02}"] if n > 1 else ["m01", "m09"])
+    assert [watch._runs(n) for n in (0, 1, 6)] == [[], [(0, 1)], [(0, 4), (4, 6)]]
+    assert spark.read.parquet(f"{box.path}/w_seen/4-6").count() == 3
+
+
+def test_no_events_before_the_first_batch(spark, tmp_path):
+    assert watch.read_events(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_one_exchange_holds_the_ids(spark, mail):
+    def exchanges(frame):
+        return frame._jdf.queryExecution().toString().split("== Physical Plan ==")[1].count("Exchange hashpartitioning")
+
+    assert exchanges(watch.fresh(with_instant(mail({"id": "m1"})))) == 1
+
+
 def test_cap_keeps_the_newest_and_drops_the_rest_for_good(box):
     box.add(*[{"id": f"m0{n}"} for n in range(1, 6)])
     assert box.run(cap=2) == ["m04", "m05"]
