@@ -484,6 +484,7 @@ MATCHES = f"""{WITH}, {searches('benchmark', 'item_id')}, {TERMS},
   hits AS (SELECT need.search_id, m.rowid FROM need CROSS JOIN m LEFT JOIN sat ON sat.search_id = need.search_id AND sat.rowid = m.rowid
     WHERE errors = 0 AND coalesce(held, 0) = need.terms)"""
 SQL["saved_matches"] = f"{MATCHES} SELECT search_id, rowid FROM hits"
+SQL["saved_matches_rarest"] = SQL["saved_matches"]
 SQL["saved_hit_counts"] = f"""{MATCHES}, n AS (SELECT s.search_id, count(h.rowid) AS hits FROM s LEFT JOIN hits h USING (search_id) GROUP BY 1)
   SELECT search_id, hits, CASE WHEN hits = 1 THEN '1 message' ELSE hits || ' messages' END AS shown FROM n"""
 

@@ -521,13 +521,13 @@ def saved_terms(spark, sf):
     )
 
 
-def _matches(spark, sf):
+def _matches(spark, sf, frequencies=None):
     searches = V.saved_searches(spark, sf, "benchmark", "item_id")
     path = scratch_dir(spark, "saved")
     saved.parse_searches(searches, V.NOW).write.parquet(f"{path}/terms")
     index.with_index(V.messages(spark, sf)).write.parquet(f"{path}/mail")
     terms, mail = spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/mail")
-    return searches, saved.match_searches(searches, terms, mail, V.folders(spark))
+    return searches, saved.match_searches(searches, terms, mail, V.folders(spark), frequencies)
 
 
 @query
@@ -535,6 +535,12 @@ def saved_matches(spark, sf):
     return _matches(spark, sf)[1]
 
 
+@query
+def saved_matches_rarest(spark, sf):
+    """The same, phrases looked up by the token that the index knows as the rarest."""
+    return _matches(spark, sf, V.stored_index(spark, sf).tokens)[1]
+
+
 @query
 def saved_hit_counts(spark, sf):
     return saved.hit_counts(*_matches(spark, sf))

@@ -137,11 +137,45 @@ def _postings(indexed: DataFrame) -> DataFrame:
     return by_column.select("rowid", F.col("c.bit").alias("bit"), F.explode("c.tokens").alias("token"))
 
 
-def text_hits(messages: DataFrame, terms: DataFrame) -> DataFrame:
+#: Bits of the filter of wanted keys; with very many distinct phrases it lets more through and results stay the same.
+FILTER_BITS = 1 << 20
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def _wanted_bits(keys: DataFrame, name: str) -> Column:
+    """A bit for the slot of each key, as one array of longs (128 KB whatever the number of keys)."""
+    slot = _slot(F.col(name))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    set_bits = keys.groupBy(F.floor(slot / 64).alias("id")).agg(F.bit_or(bit).alias("bits"))
+    words = keys.sparkSession.range(FILTER_BITS // 64).join(set_bits, "id", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
+    return words.agg(ordered["bits"].alias("bits")).scalar()
+
+
+def _may_be_wanted(bits: Column, key: Column) -> Column:
+    slot = _slot(key)
+    word = F.element_at(bits, (F.floor(slot / 64) + 1).cast("int"))
+    return F.call_function("shiftright", word, (slot % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
+def _rarest(phrases: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """Phrases with that of their ``whole`` tokens which the fewest messages hold."""
+    kept = frequencies.groupBy(F.col("token").alias("kept_token")).agg(F.sum("holding").alias("holding"))
+    parts = phrases.withColumn("part", F.explode_outer("whole"))
+    rated = parts.join(kept, F.col("part") == F.col("kept_token"), "left")
+    order = F.struct(F.coalesce("holding", F.lit(0)), -F.length("part"), "part")
+    return rated.groupBy(*phrases.columns).agg(F.min_by("part", order).alias("best"))
+
+
+def text_hits(messages: DataFrame, terms: DataFrame, frequencies: DataFrame | None = None) -> DataFrame:
     """(search_id, term_no, negated, rowid) for every text term and message holding it.
 
-    Each distinct phrase is looked up by one key: the longest of its tokens, or ``inv*`` when it is a
-    lone prefix; messages offer each token, and its starts of the lengths that lone prefixes have.
+    Each distinct phrase is looked up by one key: the rarest of its tokens by ``frequencies`` (token, holding, as kept by the
+    stored index; only the speed depends on them), without them the longest, or ``inv*`` when it is a lone prefix. Messages offer
+    each token, and its starts of the lengths that lone prefixes have; those no phrase wants are left out where they are read.
     One-token phrases are settled by the key; longer ones are checked against the padded text of the
     candidate messages only. ``terms`` is read several times: store it first.
     """
@@ -150,17 +184,19 @@ def text_hits(messages: DataFrame, terms: DataFrame) -> DataFrame:
     tokens = F.split("phrase", " ")
     whole = F.when(F.col("prefix"), F.slice(tokens, 1, F.size(tokens) - 1)).otherwise(tokens)
     longest = F.array_max(F.transform(whole, lambda t: F.struct(F.length(t).alias("size"), t.alias("token"))))["token"]
+    phrases = wanted.select("columns", "phrase", "prefix", whole.alias("whole")).distinct()
+    phrases = _rarest(phrases, frequencies) if frequencies is not None else phrases.withColumn("best", longest)
     lone_prefix = (F.size(tokens) == 1) & F.col("prefix")
     phrases = (
-        wanted.select("columns", "phrase", "prefix")
-        .distinct()
-        .withColumn("single", F.size(tokens) == 1)
-        .withColumn("phrase_key", F.when(lone_prefix, F.concat("phrase", F.lit("*"))).otherwise(longest))
+        phrases.withColumn("single", F.size(tokens) == 1)
+        .withColumn("phrase_key", F.when(lone_prefix, F.concat("phrase", F.lit("*"))).otherwise(F.col("best")))
+        .drop("whole", "best")
     )
     sizes = wanted.agg(F.concat(F.array(F.lit(0)), F.collect_set(F.when(lone_prefix, F.length("phrase"))))).scalar()
     starts = _postings(indexed).withColumn("size", F.explode(sizes)).filter(F.col("size") <= F.length("token"))
     start = F.concat(F.substring("token", F.lit(1), F.col("size")), F.lit("*"))
     keys = starts.withColumn("key", F.when(F.col("size") == 0, F.col("token")).otherwise(start))
+    keys = keys.filter(_may_be_wanted(_wanted_bits(phrases, "phrase_key"), F.col("key")))
     found = (
         salted_join(keys, phrases, "key", "phrase_key", "rowid", "inner")
         .filter(F.col("columns").bitwiseAND(F.col("bit")) != 0)
@@ -283,14 +319,16 @@ def _by_attributes(attributes: DataFrame, conditions: DataFrame) -> DataFrame:
     return pairs.filter(_conditions_hold()).select("search_id", "rowid")
 
 
-def match_searches(searches: DataFrame, terms: DataFrame, messages: DataFrame, folders: DataFrame) -> DataFrame:
-    """(search_id, rowid) of all hits of all searches; ``terms`` are those of ``parse_searches``.
+def match_searches(
+    searches: DataFrame, terms: DataFrame, messages: DataFrame, folders: DataFrame, frequencies: DataFrame | None = None
+) -> DataFrame:
+    """(search_id, rowid) of all hits of all searches; ``terms`` are those of ``parse_searches``, ``frequencies`` those of ``text_hits``.
 
     A search with an error in one of its terms has no hits.
     """
     conditions = search_conditions(searches, terms)
     attributes = _attributes(messages, folders)
-    counted = text_hits(messages, terms).groupBy("search_id", "rowid").agg(
+    counted = text_hits(messages, terms, frequencies).groupBy("search_id", "rowid").agg(
         F.count_if(~F.col("negated")).alias("found"), F.count_if(F.col("negated")).alias("barred")
     )
     with_text = salted_join(

@@ -65,7 +65,7 @@ def test_flags_and_dates(spark):
     assert [(r.date_op, r.cutoff) for r in got[3:5]] == [("<", datetime(2024, 1, 15, 12)), ("<", datetime(2024, 1, 5))]
 
 
-def test_all_searches_at_once_equal_single_searches(spark, mail, tmp_path):
+def test_all_searches_at_once_equal_single_searches(spark, mail, tmp_path, monkeypatch):
     folders = spark.createDataFrame([("fi", "inbox"), ("fs", "sent"), ("fn", None), ("fp", "spam")], "id string, type string")
     rows = mail(*[
         {"rowid": n, "id": str(n), "subject": ["Invoice due", "hello a a b", "the invoice of may", "café"][n % 4], "folder_id": ["fi", "fs", "fn", "fp", "fi"][n % 5],
@@ -101,6 +101,10 @@ def test_all_searches_at_once_equal_single_searches(spark, mail, tmp_path):
     hits = saved.match_searches(searches, spark.read.parquet(str(tmp_path / "terms")), S.with_instant(rows), folders)
     got = {n: set() for n in range(len(cases) + 1)}
     pairs = hits.collect()
+    kept = spark.createDataFrame([("the", 30), ("the", 9), ("invoice", 25), ("a", 0)], "token string, holding long")  # some are missing
+    monkeypatch.setattr(saved, "FILTER_BITS", 64)  # so few that unwanted tokens come through
+    rarest = saved.match_searches(searches, spark.read.parquet(str(tmp_path / "terms")), S.with_instant(rows), folders, kept)
+    assert sorted(rarest.collect()) == sorted(pairs)
     for row in pairs:
         got[row.search_id].add(str(row.rowid))
     assert len(pairs) == sum(map(len, got.values()))
