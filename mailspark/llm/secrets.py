@@ -10,6 +10,7 @@ entropy, unless an allow-list entry fits it or a pattern's span overlaps it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,8 @@ CLASSES = (
 #: Runs that look random but aren't secrets: identifiers in UUID form, numbers with separators, stand-ins.
 ALLOWED = (r"^(?i:[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})$", r"^[0-9+/_=-]+$", r"(?i)example|placeholder|x{6,}|0123456789|abcdefghij")
 SCALE = 1_000_000
+#: Matches whose places are summed together.
+BLOCK = 256
 SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
 
 
@@ -45,27 +48,52 @@ def most_allowed(window: int, least: float) -> int:
 
 
 def located(text: Column, pattern: str, group: int) -> Column:
-    """All matches, leftmost first: struct(start, end, run), in code points, end exclusive; run is the group's text."""
+    """All matches, leftmost first: struct(start, end, run), in code points, end exclusive; run is the group's text.
+
+    Places are summed in blocks of ``BLOCK`` matches and the blocks' lengths after that: appending to an array copies it, so one sum
+    over all matches would take the square of their number.
+    """
+    kind = "array<struct<start:int,end:int,run:string>>"
     rows = F.arrays_zip(
         F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"),
         F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("run"),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,run:string>>").alias("spans"))
 
     def step(state: Column, row: Column) -> Column:
         start = state["at"] + F.length(row["gap"])
-        end = start + F.length(row["whole"])
+        end = start + F.coalesce(F.length(row["whole"]), F.lit(0))
         span = F.struct(start.alias("start"), end.alias("end"), row["run"].alias("run"))
-        return F.when(row["whole"].isNull(), state).otherwise(F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans")))
+        # behind the last match there is a gap alone
+        more = F.when(row["whole"].isNull(), F.array().cast(kind)).otherwise(F.array(span))
+        return F.struct(end.alias("at"), F.concat(state["spans"], more).alias("spans"))
+
+    def within(rows: Column) -> Column:
+        """(length, spans counted from the block's beginning) of each block."""
+        empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("spans"))
+        firsts = F.sequence(F.lit(1), F.size(rows), F.lit(BLOCK))
+        return F.transform(firsts, lambda first: F.aggregate(F.slice(rows, first, F.lit(BLOCK)), empty, step))
+
+    def joined(blocks: Column) -> Column:
+        begins = F.aggregate(blocks, F.array(F.lit(0)), lambda sums, block: F.concat(sums, F.array(F.element_at(sums, -1) + block["at"])))
+        moved = lambda pair: F.transform(pair["block"]["spans"], lambda s: F.struct(
+            (pair["begin"] + s["start"]).alias("start"), (pair["begin"] + s["end"]).alias("end"), s["run"].alias("run")
+        ))
+        pairs = F.arrays_zip(blocks.alias("block"), F.slice(begins, F.lit(1), F.size(blocks)).alias("begin"))
+        return F.flatten(F.transform(pairs, moved))
+
+    return F.when(text.rlike(pattern), once(once(rows, within), joined)).otherwise(F.array().cast(kind))
+
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, empty, step)["spans"]).otherwise(F.array().cast("array<struct<start:int,end:int,run:string>>"))
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: a one-element array binds it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def least_weight(run: Column, window: int) -> Column:
     """Smallest sum of weights of any window of the run, that of the largest entropy; the run has ``window`` characters at least."""
     weights = F.array(*(F.lit(weight(c)).cast("bigint") for c in range(window + 1)))
-    places = F.sequence(F.lit(1), F.length(run))
-    codes = F.transform(places, lambda i: F.call_function("instr", F.lit(ALPHABET), F.substring(run, i, F.lit(1))))
+    # split into characters: a substring by place would walk from the run's beginning each time
+    codes = F.transform(F.split(run, ""), lambda c: F.call_function("instr", F.lit(ALPHABET), c))
     start = F.struct(
         F.array_repeat(F.lit(0), len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(1 << 60).cast("bigint").alias("least")
     )
@@ -86,8 +114,7 @@ def least_weight(run: Column, window: int) -> Column:
         ))
         return F.aggregate(moves, start, step)["least"]
 
-    # a one-element array binds the codes, so they are computed once
-    return F.get(F.transform(F.array(codes), slide), F.lit(0))
+    return once(codes, slide)
 
 
 def named(kind: str, number: int, found: Column) -> Column:
