@@ -134,10 +134,15 @@ def fit(table: np.ndarray, doc: np.ndarray, term: np.ndarray, toxic: np.ndarray)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """Fitted on labelled rows of ``docs`` whose crc32(doc_id) mod 4 is not 2; a doc_id with several labels counts as toxic if one is."""
+    """Fitted on labelled rows of ``docs`` whose crc32(doc_id) mod 4 is not 2, at most ``sample`` of them.
+
+    A doc_id with several labels counts as toxic if one is; of several texts of a doc_id the first in order is learnt from.
+    """
     usable = labels.filter("toxic is not null and doc_id is not null").filter(remainder(F.col("doc_id"), 4) != 2)
     chosen = usable.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("label", F.coalesce("text", F.lit("")).alias("text"))
+    # one text for each id: repeated rows are reduced before the shuffle and neither learnt from nor brought to the driver
+    matched = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = matched.groupBy("doc_id").agg(F.max("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     counts = rows.mapInArrow(count_task, "bucket bigint, bad bigint, good bigint").groupBy("bucket").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     total = chosen.agg(F.sum("label"), F.count(F.lit(1))).first()
     bad, all_rows = float(total[0] or 0), float(total[1] or 0)
@@ -167,7 +172,9 @@ def score_of(text: Column, machine: Machine) -> Column:
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of ``docs`` (doc_id, text). Only text and labels are learnt from.
 
-    Repeated rows are scored alike; a null doc_id is scored and never trained on. Without labels every score is 0.001.
+    Repeated rows are scored alike and learnt from once; a null doc_id is scored and never trained on. Without labels every score is 0.001;
+    an empty table gives no rows. Whole texts are scored, a block of them or one longer text at a time. Columns of other names, also of those
+    returned, are not read.
     """
     machine = train(docs, labels)
     scored = docs.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), score_of(F.col("text"), machine).alias("score"))
