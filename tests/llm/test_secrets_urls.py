@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -104,3 +105,74 @@ def test_redirect_table_and_empty_pages(spark):
     got = {r["page_id"]: r["verdict"] for r in U.verdicts(spark, pages, RULES, redirects).collect()}
     assert got == {0: "block", 1: "block", 2: "block", 3: "block", 4: "allow"}
     assert U.verdicts(spark, pages.limit(0), RULES).count() == 0
+
+
+def test_many_matches_and_long_runs(spark):
+    """More matches than a block of places holds, with characters outside ASCII between them, and runs of 40,000 characters."""
+    many = "é".join(f" token=abc{k} deadbeef{k:016x}" for k in range(3 * S.BLOCK + 1))
+    exact = " ".join(f"token=abcd{k:03d}" for k in range(S.BLOCK))
+    texts = [many, exact, exact + " token=last99", "a1" * 20_000, "x" * 100 + "1" + "Zq8Xv2Lk9mPw4Rt7Yb3N" * 2_000]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in S.secret_digest(frame).collect()}
+    for k, text in enumerate(texts):
+        base, spans = plain_spans(text)
+        assert got[k]["spans"] == written(spans)
+        assert got[k]["base_sha256"] == hashlib.sha256(written(base).encode()).hexdigest()
+
+
+def plain_verdicts(urls, links):
+    """Verdict of each url by the rules, then by a search over the links without regard to their direction."""
+
+    def parts(url):
+        if "://" not in (url or ""):
+            return "", "", None
+        rest = url.split("://", 1)[1]
+        host, tail = re.match(r"([^/?#]*)([^#]*)", rest).groups()
+        host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        return host, tail.split("?")[0], host + tail if host else None
+
+    def own(host, path):
+        fits = [(len(h + p), a == "allow") for a, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits, default=None)
+
+    near, rule = {}, {}
+    for a, b in links:
+        for url in (a, b):
+            host, path, node = parts(url)
+            rule[node] = own(host, path)
+        a, b = parts(a)[2], parts(b)[2]
+        if a and b:
+            near.setdefault(a, set()).add(b)
+            near.setdefault(b, set()).add(a)
+    out = []
+    for url in urls:
+        host, path, node = parts(url)
+        best = own(host, path)
+        if best:
+            out.append("allow" if best[1] else "block")
+            continue
+        seen, todo = {node}, [node]
+        while todo:
+            fresh = near.get(todo.pop(), set()) - seen
+            seen |= fresh
+            todo += fresh
+        found = [rule[n] for n in seen if n and rule.get(n)]
+        out.append("block" if any(not allows for _, allows in found) and not any(allows for _, allows in found) else "allow")
+    return out
+
+
+def test_verdicts_like_a_plain_search(spark):
+    """Random urls and links: chains, hubs, cycles, repeated links, links to urls without a page, null ends."""
+    rng = random.Random(11)
+    hosts = ["a.com", "B.com", "c.example.com", "example.com", "bad.net", "example.net", "fr.org", "xorg", "é.de"]
+    some = lambda: rng.choice(["http", "HTTPS"]) + "://" + rng.choice(hosts) + rng.choice(["", "/", "/en/", "/de/", "/fr/x"]) + rng.choice(["", f"?q={rng.randrange(30)}", f"{rng.randrange(30)}#f"])
+    urls = [some() for _ in range(400)] + [None, "", "no url", "://", "http://a.com/chain0"]
+    links = [(some(), some()) for _ in range(60)] + [(f"http://a.com/chain{k}", f"http://a.com/chain{k + 1}") for k in range(40)]
+    links += [("http://a.com/chain40", "https://bad.net/z"), (None, some()), (some(), None)]
+    links += [("http://B.com/hub", f"http://a.com/leaf{k}") for k in range(50)] + links[:20]
+    urls += [f"http://a.com/leaf{k}" for k in range(5)]
+    pages = spark.createDataFrame([(k, url, None) for k, url in enumerate(urls)], "page_id bigint, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in U.verdicts(spark, pages, RULES, spark.createDataFrame(links, "from_url string, to_url string")).collect()}
+    want = plain_verdicts(urls, links)
+    assert [got[k] for k in range(len(urls))] == want
+    assert {"allow", "block"} <= set(want) and want[urls.index("http://a.com/chain0")] == "block"
