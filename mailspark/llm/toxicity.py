@@ -24,6 +24,8 @@ SAMPLE = 20_000
 BUCKETS = 1 << 22
 TERMS = 2_048
 FACTORS = 8
+#: Deviation of the factors at the start; at 0 they stay 0, which is a linear model.
+SPREAD = 0.05
 PREFIXES = (4, 5, 7)
 ROUNDS = 250
 THRESHOLD = 0.3
@@ -108,7 +110,7 @@ def fit(table: np.ndarray, doc: np.ndarray, term: np.ndarray, toxic: np.ndarray)
     rows, terms = len(toxic), len(table)
     rate = np.clip(toxic.mean() if rows else 0.0, 1e-3, 1 - 1e-3)
     rng = np.random.default_rng(7)
-    m = Machine(table, float(np.log(rate / (1 - rate))), np.zeros(terms), rng.normal(0, 0.05, (terms, FACTORS)))
+    m = Machine(table, float(np.log(rate / (1 - rate))), np.zeros(terms), rng.normal(0, SPREAD, (terms, FACTORS)))
     if not rows or not terms:
         return m
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (np.zeros(1), m.linear, m.factors)]
