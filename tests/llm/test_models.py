@@ -169,6 +169,40 @@ def test_pairs_of_terms_count(spark):
     assert toxicity.without_toxic(docs, labels).count() == 1_200
 
 
+def test_margin_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(np.arange(30), 0.3, rng.normal(size=30), rng.normal(size=(30, toxicity.FACTORS)))
+    lists = [sorted(rng.choice(30, size, replace=False)) for size in (0, 1, 2, 9, 30)]
+    doc = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    got = machine.margin(doc, np.array([t for x in lists for t in x], dtype=np.int64), len(lists))
+    for value, terms in zip(got, lists):
+        pairs = sum(float(machine.factors[i] @ machine.factors[j]) for k, i in enumerate(terms) for j in terms[k + 1 :])
+        assert value == pytest.approx(machine.bias + sum(machine.linear[t] for t in terms) + pairs)
+
+
+def test_exclusive_or_needs_pairs(spark, monkeypatch):
+    """Toxic where one of two words stands without the other: no weights of single terms tell that apart."""
+    docs, _ = labelled(spark)
+    labels = spark.range(1_600).selectExpr("id as doc_id", "1 as quality", "cast(id % 4 in (1, 2) as int) as toxic")
+    rows = toxicity.scores(docs, labels).toPandas()
+    held = rows[rows.held_out]
+    truth = held.doc_id % 4
+    # held-out ids have all four kinds
+    assert set(truth) == {0, 1, 2, 3} and ((held.score > 0.5) == truth.isin((1, 2))).all()
+    monkeypatch.setattr(toxicity, "SPREAD", 0.0)
+    linear = toxicity.scores(docs, labels).toPandas()
+    linear = linear[linear.held_out]
+    assert ((linear.score > 0.5) == (linear.doc_id % 4).isin((1, 2))).mean() < 0.8
+
+
+def test_repeated_rows_are_learnt_from_once(spark):
+    docs, labels = labelled(spark)
+    hot = docs.filter("doc_id = 3").crossJoin(spark.range(3_000)).select("doc_id", "text")
+    once = {r["doc_id"]: r["score"] for r in toxicity.scores(docs, labels).collect()}
+    again = {r["doc_id"]: r["score"] for r in toxicity.scores(docs.union(hot), labels).collect()}
+    assert once.keys() == again.keys() and all(abs(once[k] - again[k]) < 1e-6 for k in once)
+
+
 def test_toxicity_odd_rows(spark, odd, no_docs):
     _, labels = labelled(spark)
     strange = labels.limit(0).union(spark.createDataFrame([(1, 1, 1), (1, 1, 0), (2, 0, None), (None, 1, 1), (7, 0, 0)], labels.schema))
