@@ -5,8 +5,9 @@ that tables and lists, which have no common words, get signatures as well. A sig
 words (fewer at a text's end). The set of a text's signatures, as 32-bit hashes in order, is its fingerprint. A text without words has
 one signature, its own bytes.
 
-Likeness is the Jaccard coefficient. Sets are put into partitions by length so that sets of likeness ``least`` or more lie in the same or in
-neighbouring partitions; others get 0 without being compared.
+Likeness is the Jaccard coefficient, exact for the pairs that ``fingerprints`` is asked for. ``similar`` searches: sets are put into partitions
+by length so that sets of likeness ``least`` or more lie in the same or in neighbouring partitions, each set is posted under its rarest
+signatures only, as many as a set that like cannot miss, and only sets that meet in a partition under a signature are compared.
 
 ``successors`` finds each document's neighbour in order of id: rows are cut into ranges of ids by quantiles, every range also gets the first
 row of the range that follows, and each range is walked in order. Only range bounds and first ids reach the driver, as many as
@@ -17,15 +18,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailspark.llm.common import LETTERS, mixed, split_words, text_blocks
+from mailspark.llm.common import LETTERS, mixed, split_words, stored, text_blocks
 
 #: Fixed list of common words: English, German, French, Spanish.
 COMMON = (
@@ -36,7 +36,7 @@ COMMON = (
 ).split()
 CHAIN = 2
 EVERY = 16
-LEAST = 0.1
+LEAST = 0.8
 LOWEST = -(1 << 63)
 #: Bytes of text that a task works on at once.
 GROUP_BYTES = 4 << 20
@@ -87,17 +87,10 @@ def written(signatures: np.ndarray) -> str:
     return base64.b64encode(signatures.astype("<u4").tobytes()).decode()
 
 
-def length_partition(size: int, least: float) -> int:
-    """Number of the length partition: each is 1 / least times as wide as the one before."""
-    return int(math.floor(math.log(max(size, 1)) / math.log(1 / least)))
-
-
-def likeness(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> float:
-    """Jaccard coefficient of two sorted sets, or 0 where their lengths or partitions rule out ``least``."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard coefficient of two sorted sets."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    if abs(length_partition(len(a), least) - length_partition(len(b), least)) > 1 or min(len(a), len(b)) < least * max(len(a), len(b)):
-        return 0.0
     both = np.concatenate([a, b])
     both.sort()
     shared = int((both[1:] == both[:-1]).sum())
@@ -143,7 +136,8 @@ def successors(spark: SparkSession, docs: DataFrame) -> DataFrame:
     places = F.arrow_udf(ranges_task(bounds, firsts), "array<int>")
     placed = rows.withColumn("places", places("doc_id")).select("doc_id", "text", F.posexplode("places").alias("ghost", "range"))
     placed = placed.select("range", (F.col("ghost") > 0).alias("ghost"), "doc_id", "text")
-    return placed.repartition(number, "range").sortWithinPartitions("range", "ghost", order.desc(), F.xxhash64("text"))
+    # the range's number is the partition's: a hash of it would put some ranges together and leave partitions empty
+    return placed.repartitionById(number, F.col("range")).sortWithinPartitions("range", "ghost", order.desc(), F.xxhash64("text"))
 
 
 def print_task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,3 +186,69 @@ def fingerprints(spark: SparkSession, docs: DataFrame) -> DataFrame:
         f"doc_id {id_type}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     )
     return successors(spark, docs).mapInArrow(print_task, columns)
+
+
+# --- search by length partitions
+
+
+def sets_task(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, asked, signatures) of rows of (doc_id, asked, text)."""
+    for batch in rows:
+        for first in range(0, batch.num_rows, 64):
+            part = batch.slice(first, 64)
+            sets = signature_sets(part.column(2).to_pylist())
+            lists = pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], names=["doc_id", "asked", "signatures"])
+
+
+def length_partition(size: Column, least: float) -> Column:
+    """Number of the length partition: each is 1 / least times as wide as the one before, so sets alike lie one apart at most."""
+    return F.floor(F.ln(size.cast("double")) / F.ln(F.lit(1 / least))).cast("int")
+
+
+def prefix_size(size: Column, least: float) -> Column:
+    """How many signatures a set is posted under: sets that share none of them, in one order of all signatures, are less alike than ``least``."""
+    return size - F.ceil(size * least - 1e-9).cast("int") + 1
+
+
+def classes(spark: SparkSession, docs: DataFrame, asked: Column) -> tuple[DataFrame, DataFrame]:
+    """(members, sets): doc_id and class_id of each row; class_id, asked, signatures of each distinct set.
+
+    A class is named by its smallest doc_id and is asked for if a member is. Rows without doc_id take no part.
+    """
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.filter("doc_id is not null").select("doc_id", F.coalesce(asked, F.lit(False)).alias("asked"), F.coalesce("text", F.lit("")).alias("text"))
+    found = stored(spark, rows.mapInArrow(sets_task, f"doc_id {id_type}, asked boolean, signatures array<bigint>"), "spotsigs-sets")
+    sets = stored(spark, found.groupBy("signatures").agg(F.min("doc_id").alias("class_id"), F.max("asked").alias("asked")), "spotsigs-classes")
+    return found.join(sets.select("signatures", "class_id"), "signatures").select("doc_id", "class_id"), sets
+
+
+def similar(spark: SparkSession, docs: DataFrame, asked: Column, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(members, links): doc_id and class_id of each row, and (query_id, class_id, likeness) of classes alike by ``least`` or more.
+
+    Documents with equal sets form a class, named by its smallest doc_id. query_id is a class with a row for which ``asked``, a condition on
+    ``docs``, holds; links of a class to itself are left out. ``least`` is above 0 and below 1. Null texts count as empty, rows without
+    doc_id take no part, repeated rows fall into one class, other columns are read by ``asked`` alone; an empty table gives no rows.
+    Frequent signatures come last in the order of a set, so a signature that very many sets have is rarely posted.
+    """
+    members, sets = classes(spark, docs, asked)
+    single = sets.select("class_id", "asked", F.size("signatures").alias("size"), F.explode("signatures").alias("signature"))
+    often = single.groupBy("signature").agg(F.count(F.lit(1)).alias("often"))
+    ordered = single.join(often, "signature").groupBy("class_id", "asked", "size").agg(F.sort_array(F.collect_list(F.struct("often", "signature"))).alias("ordered"))
+    first = F.slice("ordered", F.lit(1), prefix_size(F.col("size"), least))
+    posted = stored(
+        spark,
+        ordered.select("class_id", "asked", "size", length_partition(F.col("size"), least).alias("part"), F.explode(first).alias("of"))
+        .select("class_id", "asked", "size", "part", F.col("of.signature").alias("signature")),
+        "spotsigs-postings",
+    )
+    near = F.explode(F.array(*(F.col("part") + k for k in (-1, 0, 1))))
+    probes = posted.filter("asked").select(F.col("class_id").alias("query_id"), F.col("size").alias("query_size"), near.alias("part"), "signature")
+    close = F.least("size", "query_size") >= F.greatest("size", "query_size") * least - 1e-9
+    met = probes.join(posted.drop("asked"), ["part", "signature"]).filter(close & (F.col("query_id") != F.col("class_id")))
+    pairs = met.select("query_id", "class_id").distinct()
+    own = sets.select(F.col("class_id").alias("query_id"), F.col("signatures").alias("query_signatures"))
+    both = pairs.join(own, "query_id").join(sets.select("class_id", "signatures"), "class_id")
+    shared = F.size(F.array_intersect("signatures", "query_signatures"))
+    value = shared / (F.size("signatures") + F.size("query_signatures") - shared)
+    return members, both.select("query_id", "class_id", value.alias("likeness")).filter(F.col("likeness") >= least - 1e-9)

@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from mailspark.llm import mixing as M
 from mailspark.llm import spotsigs as S
@@ -15,15 +16,30 @@ def test_chains_skip_common_words():
     assert len(S.signature_sets(["the of and"])[0]) >= 1
 
 
-@pytest.mark.parametrize("least", [0.1, 0.5])
-def test_pruning_loses_nothing(least):
+@pytest.mark.parametrize("least", [0.4, 0.8])
+def test_search_loses_nothing(spark, tables, least):
+    """Links and classes against all pairs: texts of the corpus, copies with words changed, equal texts, texts without words."""
     rng = np.random.default_rng(4)
-    for _ in range(400):
-        a = np.unique(rng.integers(0, 60, rng.integers(1, 80))).astype(np.uint32)
-        b = np.unique(rng.integers(0, 60, rng.integers(1, 80))).astype(np.uint32)
-        true = len(set(a) & set(b)) / len(set(a) | set(b))
-        got = S.likeness(a, b, least)
-        assert got == pytest.approx(true) if true >= least else got in (0.0, pytest.approx(true))
+    texts = [d["text"] for d in tables("documents")][:60]
+    for text in texts[:25]:
+        words = text.split(" ")
+        for changes in (1, 1 + len(words) // 12):
+            for at in rng.integers(0, len(words), changes):
+                words[at] = f"new{at}"
+            texts.append(" ".join(words))
+    texts += texts[:5] + ["", "", None, "!!", "the of and"]
+    rows = [(k + 1, t, "clash", "clash") for k, t in enumerate(texts)] + [(None, texts[0], "clash", "clash")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, part string, signature string")
+    members, links = S.similar(spark, frame, F.col("doc_id") % 3 == 0, least)
+    sets = [frozenset(x.tolist()) for x in S.signature_sets([t or "" for t in texts])]
+    named, asked = {}, set()
+    for k, found in enumerate(sets, 1):
+        named.setdefault(found, k)
+        asked |= {found} if k % 3 == 0 else set()
+    assert {r["doc_id"]: r["class_id"] for r in members.collect()} == {k: named[found] for k, found in enumerate(sets, 1)}
+    want = {(named[a], named[b]): len(a & b) / len(a | b) for a in asked for b in named if a != b and len(a & b) >= least * len(a | b) - 1e-9}
+    got = links.collect()
+    assert len(got) == len(want) > 10 and {(r["query_id"], r["class_id"]): r["likeness"] for r in got} == pytest.approx(want)
 
 
 def test_next_document_and_edit(spark, tables):
@@ -47,6 +63,9 @@ def test_spotsigs_odd_rows(spark, odd, no_docs):
     assert len(got) == odd.count() and all(0 <= r["near_next"] <= 1 for r in got)
     assert len({r["fingerprint"] for r in got if r["doc_id"] in (2, 3)}) == 1
     assert S.fingerprints(spark, no_docs).count() == 0
+    members, links = S.similar(spark, odd, F.lit(True))
+    assert members.count() == odd.filter("doc_id is not null").count() and links.columns == ["query_id", "class_id", "likeness"]
+    assert links.count() == 0 and S.similar(spark, no_docs, F.lit(True))[1].count() == 0
     alone = S.fingerprints(spark, odd.filter("doc_id = 6")).collect()
     assert len(alone) == 1 and alone[0]["near_next"] == 1.0
 
