@@ -95,11 +95,12 @@ def _decode_entities(texts: pd.Series) -> pd.Series:
 def html_to_text(col: Column) -> Column:
     """Readable text of an HTML body: blocks on their own lines, list bullets, decoded entities.
 
-    Entity decoding is the one step without a Spark function; it is an Arrow-batched UDF. All rows
-    take it: a bypass for rows without ``&`` would compute the steps before it several times.
+    Entity decoding is the one step without a Spark function; it is an Arrow-batched UDF, and only rows with ``&`` reach it. Each row
+    takes one of two branches, so the steps before are computed once.
     """
+    encoded = col.contains("&")
     marked = _apply(F.coalesce(col, F.lit("")), TO_MARKERS)
-    return _apply(_decode_entities(marked), FROM_MARKERS)
+    return _apply(F.when(encoded, _decode_entities(F.when(encoded, marked))).otherwise(marked), FROM_MARKERS)
 
 
 def clean_plain(col: Column) -> Column:
@@ -108,9 +109,13 @@ def clean_plain(col: Column) -> Column:
 
 
 def readable_body(text: Column, html_body: Column, snippet: Column) -> Column:
-    """Clean text, else the HTML part as text, else the snippet."""
+    """Clean text, else the HTML part as text, else the snippet.
+
+    Text with a letter, digit or sign is never empty when cleaned: its HTML part is not looked at.
+    """
+    needed = F.when(F.coalesce(text.rlike(r"[\p{L}\p{N}\p{P}\p{S}]"), F.lit(False)), F.lit(None)).otherwise(html_body)
     return F.coalesce(
         F.nullif(clean_plain(text), F.lit("")),
-        F.nullif(html_to_text(html_body), F.lit("")),
+        F.nullif(html_to_text(needed), F.lit("")),
         clean_plain(snippet),
     )

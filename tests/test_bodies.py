@@ -42,6 +42,10 @@ def test_best_body(spark):
         (None, "<h1>Gate</h1>seven", "short", "Gate\n\nseven"),
         ("\u200b", None, " short\u00ad form ", "short form"),
         ("", "<hr><!-- x -->", None, ""),
+        ("\u0301", "<p>a &amp; b", "short", "\u0301"),
+        (" \u2060", "<p>a &amp; b", "short", "a & b"),
+        ("€", "<p>a &amp; b", "short", "€"),
+        ("", "<p>a and b", "x &amp; y", "a and b"),
     ]
     rows = spark.createDataFrame(cases, "t string, h string, s string, want string")
     for row in rows.withColumn("got", readable_body(F.col("t"), F.col("h"), F.col("s"))).collect():
