@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from contract.view import FOLDER_ROWS, SIDE
 from mailspark.functions import bodies
-from mailspark.functions.text import FOLD_FROM, FOLD_TO, TEXT_COLUMNS, WHITE
-from mailspark.plans.saved import COLUMN_BITS, FALSE_WORDS, TERM, TRUE_WORDS
+from mailspark.plans.saved import TERM
 from mailspark.plans.synth import Pools
 
+# The searched columns, and the words of a truth value.
+TEXT_COLUMNS = ("subject", "from_name", "from_address", "to_text", "snippet", "body_text")
+TRUE_WORDS, FALSE_WORDS = ("", "1", "on", "true", "y", "yes"), ("0", "false", "n", "no", "off")
+# white space as Python counts it, without the four separators of files, groups, records and units
+WHITE = "".join(c for c in map(chr, range(0x10000)) if c.isspace() and not "\x1c" <= c <= "\x1f")
+
 NOW = "TIMESTAMP '2024-01-20 00:00:00'"
 
 
@@ -66,7 +71,7 @@ TO_TEXT = f"trim({people('to_addresses')} || ' ' || {people('cc_addresses')} ||
 
 
 def pad(sql: str) -> str:
-    folded = f"translate(lower(coalesce({sql}, '')), {lit(FOLD_FROM)}, {lit(FOLD_TO)})"
+    folded = f"strip_accents(lower(coalesce({sql}, '')))"
     return f"regexp_replace(' ' || {folded} || ' ', '[^\\p{{L}}\\p{{N}}\\p{{Co}}]+', '  ', 'g')"
 
 
@@ -471,7 +476,7 @@ SQL["saved_terms"] = f"""WITH {searches('documents', 'doc_id')}, {TERMS} SELECT
 
 HOLDS = " OR ".join(
     f"(columns & {bit} <> 0 AND contains(p_{c}, ' ' || replace(phrase, ' ', '  ') || CASE WHEN prefix THEN '' ELSE ' ' END))"
-    for c, bit in COLUMN_BITS.items()
+    for bit, c in ((2**k, c) for k, c in enumerate(TEXT_COLUMNS))
 )
 MATCHES = f"""{WITH}, {searches('benchmark', 'item_id')}, {TERMS},
   tokf AS (SELECT tok.*, f.type AS ftype FROM tok LEFT JOIN f ON f.id = tok.folder_id),
