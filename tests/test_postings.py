@@ -2,6 +2,7 @@ import random
 import shutil
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,38 @@ def test_bounds_hold_for_every_message(spark, written):
             assert row.score >= bounds[row.rowid // P.BLOCK_ROWS] - 1e-9
 
 
+def test_postings_are_made_without_a_row_for_each_token(spark, written, capsys):
+    _, path = written
+    shown = explained(P._posting_blocks(P._stored(spark, path, "forward", 0)), capsys)
+    assert "Generate" not in shown and "collect_list" not in shown and shown.count("Exchange (") == 1
+
+
+def test_tasks_in_small_portions_lose_no_place(monkeypatch):
+    """Repeated rows are one message, rows without row id too; portions end where a message, or a block that is not too heavy, ends."""
+    pick = random.Random(3)
+    rows = [[n, -1, True, 7, n // 8, *["  " + "".join(f"{pick.choice('abcde')}  " for _ in range(pick.randint(0, 4))) for _ in P.PADS]] for n in range(40)]
+    rows = [[None, -1, True, 7, None, "  a  ", *["  "] * 5], [None, -1, True, 7, None, "  a  b  ", *["  "] * 5]] + [r for n, r in enumerate(rows) for _ in range(1 + (n % 9 == 0))]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), *[pa.string()] * 6]
+    names = [*P.KEYS, "block", *P.PADS]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[i : i + 5]], kinds[k]) for k in range(11)], names=names) for i in range(0, len(rows), 5)]
+    want = {}
+    for r in rows:
+        for k, padded in enumerate(r[5:]):
+            for i, token in enumerate(padded.split()):
+                want.setdefault((r[4], token, r[0]), []).append(k * P.COLUMN_STEP + i)
+    for text_at_once, entries_at_once in ((1, 1), (200, 30), (1 << 20, 1 << 20)):
+        monkeypatch.setattr(P, "TEXT_AT_ONCE", text_at_once)
+        monkeypatch.setattr(P, "ENTRIES_AT_ONCE", entries_at_once)
+        found = {}
+        for block in [b for batch in P.block_postings_task(iter(batches)) for b in batch.to_pylist()]:
+            assert block["most"] == max(d["n"] for d in block["docs"]) and block["shortest"] == 7
+            for d in block["docs"]:
+                assert d["n"] == len(d["places"]) and d["bits"] == sum({1 << (p // P.COLUMN_STEP) for p in d["places"]})
+                assert (block["block"], block["token"], d["rowid"]) not in found
+                found[block["block"], block["token"], d["rowid"]] = d["places"]
+        assert found == {key: sorted(places) for key, places in want.items()}
+
+
 # --- changes
 
 
