@@ -164,6 +164,23 @@ def test_index_upkeep(spark, mail, tmp_path):
     assert upkeep.read_buckets(spark, path).count() == 0
 
 
+def test_a_bucket_is_shared_by_tasks(spark, mail, tmp_path):
+    """Rows of one bucket come from several tasks, in the first table and after changes."""
+    from pyspark.sql import functions as F
+
+    path = str(tmp_path / "index")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        upkeep.write_buckets(index_table(mail(*[{"subject": f"word{n}"} for n in range(1, 41)])), path)
+        files = lambda: {r.f for r in upkeep.read_buckets(spark, path).select(F.input_file_name().alias("f")).collect()}
+        assert len(files()) > 1
+        changes = mail({"rowid": 3, "subject": "new"}).withColumn("seq", F.lit(1)).withColumn("op", F.lit("update"))
+        upkeep.upsert(spark, path, changes, "one")
+        assert len(files()) > 1 and upkeep.read_buckets(spark, path).count() == 40
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_unread_counters_over_several_batches(spark, tmp_path):
     folders = spark.createDataFrame([("a", "A", "inbox"), ("b", "B", None), ("c", "C", "drafts")], "id string, name string, type string")
     start = spark.createDataFrame([("a", 1), ("b", 0), ("c", 2)], "folder_id string, unread_count bigint")
