@@ -121,3 +121,16 @@ def test_terms_are_parted_by_white_space_of_any_script(spark):
     for blank in ("\u00a0", "\u3000", "\u2003", "\x85", "\u2028", " \u00a0\t"):
         (rows,) = parse(spark, f"invoice{blank}unread:{blank}from:bob")
         assert [(r.kind, r.phrase) for r in rows] == [("text", "invoice"), ("flag", None), ("text", "bob")], repr(blank)
+
+
+def test_pairs_are_dealt_by_the_number_of_messages(spark, mail, monkeypatch, tmp_path):
+    monkeypatch.setattr(saved, "ROWS_A_TASK", 3)
+    rows = S.with_instant(mail(*[{"subject": "one two" if n % 2 else "one", "is_read": n % 2} for n in range(20)]))
+    searches = spark.createDataFrame([(1, "one two"), (2, "one -two"), (3, "unread:yes -two")], "search_id int, search_text string")
+    saved.parse_searches(searches, NOW).write.parquet(str(tmp_path / "terms"))
+    folders = spark.createDataFrame([("fi", "Inbox", "inbox")], "id string, name string, type string")
+    hits = saved.match_searches(searches, spark.read.parquet(str(tmp_path / "terms")), rows, folders)
+    assert "rowid#" in (shown := hits._jdf.queryExecution().executedPlan().toString()) and ", 7), REPARTITION_BY_NUM" in shown
+    found = sorted((r.search_id, r.rowid) for r in hits.collect())
+    odd, even = range(2, 21, 2), range(1, 21, 2)
+    assert found == [(1, n) for n in odd] + [(2, n) for n in even] + [(3, n) for n in even]
