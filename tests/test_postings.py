@@ -169,6 +169,37 @@ def test_tasks_in_small_portions_lose_no_place(monkeypatch):
         assert found == {key: sorted(places) for key, places in want.items()}
 
 
+def test_messages_of_a_block_are_lists_of_numbers_and_come_by_token(spark, written):
+    """No structure for each message; a task's portion is a sorted run, and places are found by their start."""
+    _, path = written
+    index = P.read_postings(spark, path)
+    assert dict(index.postings.dtypes)["docs"].startswith("struct<rowid:array<bigint>,n:array<int>")
+    for row in index.postings.collect():
+        docs = row.docs
+        assert row.holding == len(docs.rowid) == len(docs.start) and docs.start == [sum(docs.n[:i]) for i in range(len(docs.n))]
+        assert len(docs.places) == sum(docs.n)
+    forward = P._stored(spark, path, "forward", 0).withColumn("block", F.floor(F.col("rowid") / P.BLOCK_ROWS)).orderBy("block", *P.KEYS)
+    batches = [pa.RecordBatch.from_pandas(forward.toPandas(), preserve_index=False)]
+    tokens = [t for batch in P.stored_blocks_task(iter(batches)) for t in batch.column("token").to_pylist()]
+    assert len(set(tokens)) < len(tokens) and tokens == sorted(tokens, key=str.encode)
+
+
+def test_tokens_that_changes_take_back_are_counted_without_a_row_for_each(spark, written, capsys, monkeypatch):
+    _, path = written
+    forward = P._stored(spark, path, "forward", 0)
+    assert "Generate" not in explained(P._token_holding(forward), capsys)
+    kept = {r.token: r.holding for r in P.read_postings(spark, path).tokens.collect()}
+    rows = forward.unionByName(forward.filter("rowid % 2 = 0")).orderBy(*P.KEYS).toPandas()
+    batches = [pa.RecordBatch.from_pandas(rows[i : i + 7], preserve_index=False) for i in range(0, len(rows), 7)]
+    for most in (1, 300, 1 << 20):
+        monkeypatch.setattr(P, "TEXT_AT_ONCE", most)
+        found = {}
+        for batch in P.holding_task(iter(batches)):
+            for r in batch.to_pylist():
+                found[r["token"]] = found.get(r["token"], 0) + r["holding"]
+        assert found == kept
+
+
 # --- changes
 
 
