@@ -200,6 +200,44 @@ def test_tokens_that_changes_take_back_are_counted_without_a_row_for_each(spark,
         assert found == kept
 
 
+def test_texts_are_made_once_and_lie_in_ranges_of_row_ids(spark, mail, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    monkeypatch.setattr(P, "RANGE_ROWS", 10)
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(value):
+        made.add(1)
+        return value
+
+    rows = [{"rowid": n * 3 if n % 10 else None, "subject": f"cat {n}", "body_text": "the"} for n in range(80)]
+    P.write_postings(mail(*rows).withColumn("body_text", F.udf(counted, "string")("body_text")), str(tmp_path / "i"))
+    assert made.value == len(rows)
+    forward = P._stored(spark, str(tmp_path / "i"), "forward", 0)
+    spans = forward.groupBy(F.input_file_name()).agg(F.min("rowid").alias("low"), F.max("rowid").alias("high")).orderBy("low").collect()
+    assert len(spans) == 4 and all(a.high < b.low for a, b in zip(spans, spans[1:]))
+    index = P.read_postings(spark, str(tmp_path / "i"))
+    assert sorted(r.rowid for r in P.term_hits(index, text("the")).collect() if r.rowid is not None) == [n * 3 for n in range(80) if n % 10]
+
+
+@pytest.mark.parametrize("rowid", [7, None])
+def test_equal_row_ids_and_none(spark, mail, tmp_path, monkeypatch, rowid):
+    monkeypatch.setattr(P, "RANGE_ROWS", 1)
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    P.write_postings(mail(*[{"rowid": rowid, "subject": f"cat {n}"} for n in range(9)]), str(tmp_path / "i"))
+    assert P._stored(spark, str(tmp_path / "i"), "forward", 0).count() == 9
+
+
+def test_numbers_of_postings_are_stored_as_differences(written):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    for file in glob.glob(f"{written[1]}/postings/gen=0/*/*.parquet"):
+        group = pq.ParquetFile(file).metadata.row_group(0)
+        columns = [group.column(k) for k in range(group.num_columns)]
+        assert all("DELTA_BINARY_PACKED" in c.encodings for c in columns if c.physical_type in ("INT32", "INT64"))
+
+
 # --- changes
 
 
