@@ -35,3 +35,13 @@ def test_synthetic_mail_follows_its_profile(spark):
     assert (want.total, want.unread, want.folders) == (made.total, made.unread, made.folders)
     for name in ("distinct_message_id", "flagged", "has_attachments", "with_html", "with_text"):
         assert abs(want[name] - made[name]) / want.total < 0.1
+
+
+def test_a_search_indexes_the_tables_as_they_are(spark, tmp_path):
+    """A second query in the session does the same work as the first and sees rows that have come since."""
+    documents = spark.read.parquet(f"{SMALL}/documents.parquet")
+    found = []
+    for most in (20, 40):
+        documents.filter(f"doc_id < {most}").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        found.append(contract.queries()["kept_totals"](spark, str(tmp_path)).first().messages)
+    assert found == [documents.filter(f"doc_id < {most}").count() for most in (20, 40)] and found[0] < found[1]
