@@ -238,6 +238,26 @@ def test_numbers_of_postings_are_stored_as_differences(written):
         assert all("DELTA_BINARY_PACKED" in c.encodings for c in columns if c.physical_type in ("INT32", "INT64"))
 
 
+def test_forward_rows_are_stored_small(written):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    files = glob.glob(f"{written[1]}/forward/gen=0/*.parquet")
+    assert files and {pq.ParquetFile(f).metadata.row_group(0).column(k).compression for f in files for k in range(10)} == {"ZSTD"}
+
+
+@pytest.mark.parametrize("count", [1, 2, 3, 10, 599])
+def test_the_range_of_a_row_is_found_among_few_ends(spark, count, capsys):
+    ends = sorted(random.Random(count).sample(range(-5000, 5000), count))
+    rows = spark.createDataFrame([(n,) for n in (*range(-5001, 5002, 7), *ends, None)], "rowid long")
+    numbered = rows.select("rowid", P._below("rowid", [float(e) for e in ends]).alias("range"))
+    for row in numbered.collect():
+        assert row.range == sum(row.rowid is not None and row.rowid > e for e in ends)
+    # one list to choose a step by and slices of one step, no filter over all ends
+    assert count < 4 or f"filter([{float(ends[0])},{float(ends[1])}" not in explained(numbered, capsys).replace(", ", ",")
+
+
 # --- changes
 
 
